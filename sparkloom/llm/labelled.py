@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +16,18 @@ def fold(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int, columns: list[Column]) -> list:
-    """At most per_class rows of each class, the first by a hash of the id; rows with a null label or text don't count.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int, columns: list[Column]) -> pa.Table:
+    """Rows (doc_id, _y, _o, columns) of at most per_class ids of each class, the first by a hash of the id; one row an id.
 
-    docs: doc_id, text and more; labels: doc_id and the label. Held-out rows are never read."""
+    The ids are picked from the labels alone and broadcast (2 * per_class at most), so texts aren't shuffled. Null labels,
+    null, empty and very long texts don't count; held-out rows are never read."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out)
-    rows = docs.join(known, "doc_id").where(F.octet_length("text").between(1, LONGEST_TRAINED))
-    rows = rows.select("doc_id", "_y", F.xxhash64("doc_id", F.lit(5)).alias("_o"), *columns)
-    picked = [rows.where(F.col("_y") == y).orderBy("_o", "doc_id").limit(per_class) for y in (0, 1)]
-    return sorted(picked[0].collect() + picked[1].collect(), key=lambda r: (r["_o"], r["doc_id"]))
+    known = known.withColumn("_o", F.xxhash64("doc_id", F.lit(5)))
+    picked = [known.where(F.col("_y") == y).orderBy("_o", "doc_id").limit(per_class) for y in (0, 1)]
+    ids = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["doc_id"]))
+    rows = docs.where(F.octet_length("text").between(1, LONGEST_TRAINED)).join(ids, "doc_id")
+    rows = rows.select("doc_id", "_y", "_o", *columns).dropDuplicates(["doc_id"])
+    return rows.toArrow().sort_by([("_o", "ascending"), ("doc_id", "ascending")])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -106,7 +106,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fold(F.col("doc_id"), 4) == 2
     rows = training_rows(docs, labels, "quality", out, PER_CLASS, [F.col("text").cast("binary").alias("t")])
     rate = labels.where(~out & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    model = train([bytes(r["t"]) for r in rows], [r["_y"] for r in rows], 0.5 if rate is None else float(rate))
+    model = train(rows["t"].to_pylist(), rows["_y"].to_pylist(), 0.5 if rate is None else float(rate))
     s = score(docs, model)
     return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -37,6 +37,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join broadcasts; beyond, both sides are shuffled.
+MOST_BROADCAST = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids (settled rows of a number or two), marked for broadcast if there are at most MOST_BROADCAST."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """docs without the rows whose id stands in ids (one column); columns as they are, null ids stay."""
+    gone = settle(ids.select(F.col(ids.columns[0]).alias("_gone")), "ids")
+    return docs.join(few(gone), F.col(f"`{id}`") == F.col("_gone"), "left_anti")
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules of the operators, in the order of their numbers.
-MODULES = ("near_duplicates", "decontaminate", "quality_rules", "mixing", "toxicity", "quality_classifier", "sharding", "token_output", "urls")
+MODULES = ("near_duplicates", "decontaminate", "quality_rules", "mixing", "toxicity", "quality_classifier", "sharding", "suffix_dedup", "token_output", "urls")
 
 
 def queries() -> dict:

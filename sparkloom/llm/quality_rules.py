@@ -84,7 +84,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 def clean_documents(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The kept documents, with the same columns, text cut to the good lines and `length`, where it is a column, to match."""
-    out = measure(df, text).where("kept")
+    # the row number keeps the filter above the projections, whose arrays lambdas would otherwise compute again per element
+    out = measure(df, text).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
     out = out.withColumn(text, F.array_join("good_lines", "\n"))
     if length in df.columns:
         out = out.withColumn(length, F.length(F.col(f"`{text}`")).cast(df.schema[length].dataType))

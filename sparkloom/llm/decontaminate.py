@@ -34,6 +34,8 @@ RUN = 5
 QUESTION, ANSWER = 0.6, 0.6
 #: The index is sent to every task; this bounds it.
 MOST_ITEMS = 200_000
+#: Cells of an impact table; beyond, postings are searched.
+MOST_CELLS = 1 << 23
 #: Words searched at once.
 PIECE = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -65,6 +67,24 @@ def found_share(part: np.ndarray, words: np.ndarray) -> float:
     return float(np.isin(own, runs(words, n)).mean()) if len(own) else 1.0
 
 
+class Impacts:
+    """Impacts by term and place (0 where there is no posting): a table if it is small, else a search in the postings."""
+
+    def __init__(self, terms: int, places: int, term: np.ndarray, place: np.ndarray, impact: np.ndarray):
+        self.places, self.table = max(places, 1), None
+        self.keys, self.impact = term * self.places + place, impact
+        if terms * self.places <= MOST_CELLS:
+            self.table = np.zeros(terms * self.places)
+            self.table[self.keys] = impact
+
+    def at(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        ask = term * self.places + place
+        if self.table is not None:
+            return self.table[ask]
+        at = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
+        return np.where(self.keys[at] == ask, self.impact[at], 0.0)
+
+
 @dataclass
 class Index:
     """Segments of items, their terms' impacts, and by block of segments the terms' greatest impacts."""
@@ -75,13 +95,11 @@ class Index:
     item: np.ndarray  # of each segment
     vocabulary: np.ndarray
     bitmap: np.ndarray
-    seg_start: np.ndarray  # postings by term: segments and impacts
-    seg: np.ndarray
-    seg_impact: np.ndarray
-    block_start: np.ndarray  # postings by term: blocks and greatest impacts
+    block_start: np.ndarray  # postings by term: blocks
     block: np.ndarray
-    block_impact: np.ndarray
     most: np.ndarray  # a term's greatest impact
+    by_seg: Impacts
+    by_block: Impacts
 
     @classmethod
     def build(cls, ids: Sequence, questions: list[np.ndarray], answers: list[np.ndarray]) -> Index:
@@ -111,7 +129,7 @@ class Index:
         np.maximum.at(most, term, impact)
         bitmap = np.zeros(1 << 22, dtype=bool)
         bitmap[vocabulary & ((1 << 22) - 1)] = True
-        return cls(list(ids), questions, answers, np.array(item, dtype=np.int64), vocabulary, bitmap, starts(term), seg, impact, starts(term[heads]), seg[heads] // BLOCK, greatest, most)
+        return cls(list(ids), questions, answers, np.array(item, dtype=np.int64), vocabulary, bitmap, starts(term[heads]), seg[heads] // BLOCK, most, Impacts(len(vocabulary), n, term, seg, impact), Impacts(len(vocabulary), blocks, term[heads], seg[heads] // BLOCK, greatest))
 
     def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, terms) of the words that the index knows."""
@@ -143,26 +161,17 @@ class Index:
             return p, p, np.empty(0)
         start = np.searchsorted(passage, np.arange(int(passage[-1]) + 2))
         which, at = _expand(start, p)
-        impact = self._lookup(self.block_start, self.block, self.block_impact, term[at], b[which])
+        impact = self.by_block.at(term[at], b[which])
         good = np.bincount(which, impact, minlength=len(p)) >= floor
         p, b = p[good], b[good]
         last = np.minimum((b + 1) * BLOCK, len(self.item))
         sizes = last - b * BLOCK
         p, s = np.repeat(p, sizes), np.repeat(b * BLOCK - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
         which, at = _expand(start, p)
-        score = np.bincount(which, self._lookup(self.seg_start, self.seg, self.seg_impact, term[at], s[which]), minlength=len(p))
+        score = np.bincount(which, self.by_seg.at(term[at], s[which]), minlength=len(p))
         good = score >= floor
         return p[good], s[good], score[good]
 
-    @staticmethod
-    def _lookup(start: np.ndarray, of: np.ndarray, impact: np.ndarray, term: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """The impacts of (term, segment or block) pairs, 0 where there is no posting."""
-        width = int(of.max()) + 1
-        keys = np.repeat(np.arange(len(start) - 1), np.diff(start)) * width + of
-        ask = term * width + want
-        at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-        return np.where(keys[at] == ask, impact[at], 0.0)
-
     def leaks(self, words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
         """(document, item, best score, question's share, answer's share) of verified items, for documents whose words
         lie one after another."""

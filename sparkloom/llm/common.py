@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is settled, so that two Python workers an executor stay small.
+ARROW_BATCH = "16m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ARROW_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ MOST_ITEMS = 200_000
 #: Cells of an impact table; beyond, postings are searched.
 MOST_CELLS = 1 << 23
 #: Words searched at once.
-PIECE = 1 << 18
+PIECE = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -1,13 +1,9 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from sparkloom.queries import ORACLES, QUERIES, call_queries, flow_queries, graph_queries, value_queries
 
+flagship = flow_queries.flagship
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
-
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES", "call_queries", "flagship", "flow_queries", "graph_queries", "value_queries"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,11 +48,14 @@ def merge_maps(*maps: Column) -> Column:
     """Shallow merge, the rightmost wins, whatever the session's policy for repeated keys."""
     whole = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
     for m in maps:
-        kept = F.map_filter(whole, lambda k, _, m=m: ~F.map_contains_key(m, k))
-        whole = F.map_concat(kept, m)
+        whole = F.map_concat(F.map_filter(whole, _absent_from(m)), m)
     return whole
 
 
+def _absent_from(m: Column) -> Callable[[Column, Column], Column]:
+    return lambda k, v: ~F.map_contains_key(m, k)
+
+
 def template(text: str, values: Mapping[str, Column]) -> tuple[Column, Column]:
     """(rendered text, whether all holes were filled); if one is null or unknown the template stays as it is."""
     parts, known = [], F.lit(True)
@@ -101,9 +104,9 @@ def truncated(json: Column, most: int) -> Column:
 
 def backoff_ms(attempt: Column, base: Column | None = None, cap: int = 5000) -> Column:
     """The wait after a failed attempt (1, 2, ...), without its jitter."""
-    doubled = F.coalesce(base, F.lit(100)).cast("bigint") * F.expr("1L") if base is not None else F.lit(100).cast("bigint")
+    first = F.coalesce(base, F.lit(100)) if base is not None else F.lit(100)
     power = F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(16))).cast("bigint")
-    return F.least(doubled * power, F.lit(cap).cast("bigint"))
+    return F.least(first.cast("bigint") * power, F.lit(cap).cast("bigint"))
 
 
 def retry_attempts(idempotent: Column, pure: Column, declared: Column) -> Column:

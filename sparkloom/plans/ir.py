@@ -79,6 +79,8 @@ def step(value: Any, segment: str) -> Any:
         return value.get(segment, MISSING)
     if isinstance(value, list) and segment.isascii() and segment.isdigit():
         return value[int(segment)] if int(segment) < len(value) else MISSING
+    if hasattr(value, "columns") and hasattr(value, "select"):  # a table
+        return value.select(segment) if segment in value.columns else MISSING
     return MISSING
 
 

@@ -39,6 +39,8 @@ def truncate(value: Any, most: int) -> Any:
 
 
 def shape(value: Any, redactor: KeyRedactor | None, most: int | None) -> Any:
+    if hasattr(value, "schema"):  # a table stays as it is
+        return value
     value = redactor(value) if redactor else value
     return value if most is None else truncate(value, most)
 

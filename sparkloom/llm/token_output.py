@@ -12,10 +12,13 @@ orphan that no manifest names.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,9 +37,11 @@ from sparkloom.llm.common import fresh_path, settle, table
 END_ID = 2
 #: Bytes of token ids in a frame, about; a longer document has a frame of its own.
 FRAME_BYTES = 1 << 18
-LEVEL = 3
+LEVEL = 1
 #: Space-separated pieces whose ids a worker remembers; then it forgets them all.
 MOST_KNOWN = 1_000_000
+NEAR = 8_000
+_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?:;]?")
 _SKIP_INDEX, _SKIP_SEEK, _SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = struct.Struct("<qqQI")
 _ENTRY = struct.Struct("<III")
@@ -52,8 +57,11 @@ def default_tokenizer() -> str:
 class Encoder:
     """The tokenizers library over whole texts, with the ids of recurring pieces remembered.
 
-    The byte-level pattern never joins a space to what stands before it, except inside a run of white space; so a text
-    without such runs is the sum of its pieces split before each single space. Other texts go to the library whole.
+    The byte-level pattern never joins a space to what stands before it, nor a line's end to what stands on either side,
+    except inside a run of white space; so a text without such runs is the sum of its pieces split before each space and
+    around each line's end. Other texts go to the library whole. A
+    new piece that is a plain word goes straight to the library's model: the pattern would split it at most before its
+    last mark, across which no token of the vocabulary reaches.
     """
 
     def __init__(self, path: str):
@@ -62,54 +70,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.splits = '"ByteLevel"' in self.tokenizer.to_str()[:4000] and self.tokenizer.normalizer is None
+        pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.splits = pattern.get("type") == "ByteLevel" and pattern.get("use_regex") and not pattern.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (k for k in range(256) if k not in plain)
+        self.letters = {k: chr(k) for k in plain} | {k: chr(256 + n) for n, k in enumerate(rest)}
+        # a token that holds the end of a Latin-1 letter and a mark after it
+        across = re.compile(r"([A-Za-z]|\u00c3.|^[^\x21-\x7e\u0120])[.,!?:;]")
+        self.plain = None if any(map(across.search, self.tokenizer.get_vocab())) else _PLAIN
         self.forget()
 
     def forget(self) -> None:
+        self.near: dict[str, int] = {}  # the first batch's commonest: small enough for a processor's cache
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.begin, self.size, self.risky = (np.zeros(1 << 14, dtype=t) for t in (np.int64, np.int64, bool))
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode([p.removeprefix("\x00") for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        ids, sizes = encoded.ids, np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(pieces))
-        n, more = len(self.known), len(ids)
+    def _learn(self, new: list[str]) -> None:
+        """Numbers the pieces in an order of its own."""
+        plain = list(filter(self.plain.fullmatch, new)) if self.plain else []
+        chosen = set(plain)
+        other = [p for p in new if p not in chosen]
+        ids: list[int] = []
+        sizes: list[int] = []
+        if plain:
+            tokenize = self.tokenizer.model.tokenize
+            for word in "\x00".join(plain).encode().decode("latin1").translate(self.letters).split(self.letters[0]):
+                tokens = tokenize(word)
+                ids += [t.id for t in tokens]
+                sizes.append(len(tokens))
+        if other:
+            encoded = self.tokenizer.encode([p.removeprefix("\x00") for p in other], is_pretokenized=True, add_special_tokens=False)
+            ids += encoded.ids
+            sizes += np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(other)).tolist()
+        pieces, first, more = plain + other, len(self.known), len(ids)
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(pieces) > len(self.begin):
+        while first + len(pieces) > len(self.begin):
             self.begin, self.size, self.risky = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.risky))
+        last, n = first + len(pieces), np.array(sizes, dtype=np.int64)
         self.ids[self.used : self.used + more] = ids
-        self.begin[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(pieces)] = sizes
-        self.risky[n : n + len(pieces)] = [len(p) < 2 or p[-1].isspace() for p in pieces]
+        self.begin[first:last], self.size[first:last] = self.used + np.cumsum(n) - n, n
+        self.risky[first + len(plain) : last] = [p in ("", " ") or (p[-1].isspace() and p not in ("\n", "\x00")) for p in other]
         self.used += more
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.known.update(zip(pieces, range(first, last), strict=True))
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.near.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
+        missed = np.flatnonzero(at < 0)
+        rest = list(itertools.compress(pieces, (at < 0).tolist()))
+        found = np.fromiter(map(self.known.get, rest, itertools.repeat(-1)), dtype=np.int64, count=len(rest))
+        if (found < 0).any():
+            fresh = list(itertools.compress(rest, (found < 0).tolist()))
+            self._learn(list(dict.fromkeys(fresh)))
+            found[found < 0] = np.fromiter(map(self.known.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        at[missed] = found
+        if not self.near:
+            self.near = {p: self.known[p] for p, _ in Counter(pieces).most_common(NEAR)}
+        return at
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """A text's pieces: a line's end alone, and what stands between spaces, each with the space before it."""
+        if "\x1f" in text:
+            return ["\x00" + text]
+        return ("\x00" + text).replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if not self.splits:
             return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
         if len(self.known) > MOST_KNOWN:
             self.forget()
-        split = [("\x00" + t).replace(" ", "\x1f ").split("\x1f") if "\x1f" not in t else ["\x00" + t] for t in texts]
-        pieces = list(itertools.chain.from_iterable(split))
-        at = list(map(self.known.get, pieces))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, k in zip(pieces, at, strict=True) if k is None)))
-            at = list(map(self.known.get, pieces))
-        at = np.array(at, dtype=np.int64)
+        split = list(map(self._split, texts))
+        at = self._places(list(itertools.chain.from_iterable(split)))
         sizes = self.size[at]
         shift = self.begin[at] - (np.cumsum(sizes) - sizes)
         flat = self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
-        counts = np.array([len(s) for s in split])
-        ends = np.cumsum(counts)
+        ends = np.cumsum([len(s) for s in split])
         upto = np.concatenate([[0], np.cumsum(sizes)])
         risky = np.concatenate([[0], np.cumsum(self.risky[at])])
         out = []
-        for t, a, b in zip(texts, ends - counts, ends, strict=True):
-            last_fine = risky[b - 1] - risky[a] == 0 and not (b - a > 1 and len(t) > 1 and t[-1] == " ")
-            out.append(flat[upto[a] : upto[b]] if last_fine else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
+        for t, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            whole = risky[b] == risky[a]  # else a run of white space may be torn
+            out.append(flat[upto[a] : upto[b]] if whole else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
         return out
 
 

@@ -110,9 +110,9 @@ def declared_outputs(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.when(F.col("output").isNull() & (F.col("user_id") % 2 == 0), "unresolved_output").alias("code"), "output")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0")
 def unsettled(spark: SparkSession, d: str) -> DataFrame:
-    done = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return read(spark, d, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 

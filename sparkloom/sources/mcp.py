@@ -1,4 +1,4 @@
-"""Servers of the Model Context Protocol as tools, over standard input and output, and the protocol's values as columns."""
+"""Servers of the Model Context Protocol as tools, over standard input and output or HTTP, and the protocol's values as columns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import json
 import queue
 import subprocess
 import threading
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkloom.plans.compiler import Capability
 from sparkloom.plans.ir import Effects
 from sparkloom.sources.base import ToolError
+from sparkloom.sources.http import Client, UrllibClient
 
 #: Fixed values of the protocol.
 PROTOCOL = "2025-06-18"
@@ -67,12 +68,83 @@ def sse_answer(body: Column, id: Column) -> Column:
     return F.get(F.filter(data, lambda x: F.get_json_object(x, "$.id") == id.cast("string")), 0)
 
 
+def _listed(server: str, ask: Callable[[dict], dict]) -> dict[str, Capability]:
+    """What a server lists, page after page."""
+    found, cursor = {}, None
+    while True:
+        page = ask({"cursor": cursor} if cursor else {})
+        found |= {t["name"]: capability(server, t.get("annotations") or {}, t.get("inputSchema")) for t in page.get("tools", [])}
+        cursor = page.get("nextCursor")
+        if not cursor:
+            return found
+
+
+def event_with_id(body: str, key: int) -> dict | None:
+    """The message with this id among server-sent events."""
+    for line in body.splitlines():
+        if line.startswith("data:"):
+            with contextlib.suppress(ValueError):
+                got = json.loads(line[5:])
+                if isinstance(got, dict) and got.get("id") == key:
+                    return got
+    return None
+
+
+class McpHttp:
+    """A server behind one URL: requests are posted, answers are JSON or server-sent events; the session's name that the
+    server gives is sent back."""
+
+    def __init__(self, name: str, url: str, client: Client | None = None, headers: Mapping[str, str] | None = None):
+        self.name, self.url, self.client = name, url, client or UrllibClient(REQUEST_TIMEOUT_S)
+        self.headers = {"content-type": "application/json", "accept": "application/json, text/event-stream", **(headers or {})}
+        self.ids, self.lock, self.ready = itertools.count(1), threading.Lock(), False
+
+    def _post(self, message: dict) -> tuple[dict[str, str], str]:
+        status, headers, data = self.client.request("POST", self.url, self.headers, json.dumps(message).encode())
+        if not 200 <= status < 300:
+            raise ToolError(f"{self.name} answered {status}", "mcp_transport", status >= 500 or status == 429)
+        return {k.lower(): v for k, v in headers.items()}, data.decode("utf-8", "replace")
+
+    def _ask(self, method: str, params: dict) -> dict:
+        key = next(self.ids)
+        headers, body = self._post({"jsonrpc": "2.0", "id": key, "method": method, "params": params})
+        if "mcp-session-id" in headers:
+            self.headers["mcp-session-id"] = headers["mcp-session-id"]
+        try:
+            got = event_with_id(body, key) if "event-stream" in headers.get("content-type", "") else json.loads(body)
+        except ValueError as e:
+            raise ToolError(f"{self.name} answered no JSON", "mcp_protocol", False) from e
+        if not isinstance(got, dict):
+            raise ToolError(f"{self.name} gave no answer", "mcp_protocol", False)
+        if "error" in got:
+            raise ToolError(str(got["error"].get("message")), "mcp_server")
+        return got.get("result") or {}
+
+    def _start(self) -> None:
+        with self.lock:
+            if self.ready:
+                return
+            hello = self._ask("initialize", {"protocolVersion": PROTOCOL, "capabilities": {}, "clientInfo": {"name": "sparkloom", "version": "0"}})
+            if not version_ok(hello.get("protocolVersion")):
+                raise ToolError("the server names no protocol version", "mcp_protocol", False)
+            self._post({"jsonrpc": "2.0", "method": "notifications/initialized"})
+            self.ready = True
+
+    def call(self, tool: str, input: Any) -> Any:
+        self._start()
+        return normalize(self._ask("tools/call", {"name": tool, "arguments": input}))
+
+    def tools(self) -> dict[str, Capability]:
+        self._start()
+        return _listed(self.name, lambda p: self._ask("tools/list", p))
+
+
 class McpStdio:
     """One server process, started when first needed and again when it has died. A batch writes all its requests before
     it waits for any answer."""
 
-    def __init__(self, name: str, command: Sequence[str], timeout_s: float = REQUEST_TIMEOUT_S):
-        self.name, self.command, self.timeout_s = name, list(command), timeout_s
+    def __init__(self, name: str, command: Sequence[str], timeout_s: float = REQUEST_TIMEOUT_S, env: Mapping[str, str] | None = None):
+        self.name, self.command, self.timeout_s, self.env = name, list(command), timeout_s, env
         self.lock, self.ids, self.process = threading.Lock(), itertools.count(1), None
         self.waiting: dict[int, queue.Queue] = {}
         self.stderr: collections.deque[str] = collections.deque(maxlen=STDERR_LINES)
@@ -82,7 +154,7 @@ class McpStdio:
             if self.process and self.process.poll() is None:
                 return
             try:
-                self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, bufsize=1)
+                self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, bufsize=1, env=self.env)
             except OSError as e:
                 raise ToolError(str(e), "mcp_transport") from e
             threading.Thread(target=self._read, args=(self.process,), daemon=True).start()
@@ -138,15 +210,8 @@ class McpStdio:
         return [(k, normalize(self._ask(s))) for k, s in sent]
 
     def tools(self) -> dict[str, Capability]:
-        """What the server lists, page after page."""
         self._start()
-        found, cursor = {}, None
-        while True:
-            page = self._ask(self._send("tools/list", {"cursor": cursor} if cursor else {}))
-            found |= {t["name"]: capability(self.name, t.get("annotations") or {}, t.get("inputSchema")) for t in page.get("tools", [])}
-            cursor = page.get("nextCursor")
-            if not cursor:
-                return found
+        return _listed(self.name, lambda p: self._ask(self._send("tools/list", p)))
 
     def close(self) -> None:
         if self.process and self.process.poll() is None:

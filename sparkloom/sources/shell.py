@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -15,12 +15,19 @@ from sparkloom.sources.files import Files, text_within
 OUTPUT_CAP = 1 << 20
 
 
+def environment(env: Mapping[str, str] | None = None, clear: bool = False, inherit: Sequence[str] = ()) -> dict[str, str]:
+    """This process's environment, or of it only the names in `inherit`, and env over it."""
+    own = {k: os.environ[k] for k in inherit if k in os.environ} if clear else dict(os.environ)
+    return own | dict(env or {})
+
+
 class Shell:
     """run {program, args?, stdin?, cwd?, timeout_ms?} -> {status, success, stdout, stderr}; outputs over the cap are cut
-    and marked. The environment holds only the names that `inherit` lists."""
+    and marked. The environment is `env`, by default a few names of this process's own."""
 
-    def __init__(self, base: str | Path, programs: Sequence[str] | None = None, inherit: Sequence[str] = ("PATH", "HOME", "LANG"), cap: int = OUTPUT_CAP):
-        self.files, self.programs, self.inherit, self.cap = Files(base), programs, inherit, cap
+    def __init__(self, base: str | Path, programs: Sequence[str] | None = None, env: Mapping[str, str] | None = None, timeout_ms: int | None = None, cap: int = OUTPUT_CAP):
+        self.files, self.programs, self.timeout_ms, self.cap = Files(base), programs, timeout_ms, cap
+        self.env = environment(inherit=("PATH", "HOME", "LANG"), clear=True) if env is None else dict(env)
 
     def call(self, tool: str, input: Any) -> Any:
         if tool != "run":
@@ -30,9 +37,9 @@ class Shell:
             raise ToolError(f"{program!r} may not run", "blocked_program", False)
         if not all(isinstance(a, str) for a in args):
             raise ToolError("args must hold strings", "invalid_input", False)
-        timeout = field_of(input, "timeout_ms", int, None)
+        timeout = field_of(input, "timeout_ms", int, self.timeout_ms)
         try:
-            done = subprocess.run([program, *args], input=field_of(input, "stdin", str, "").encode(), cwd=self.files.inside(field_of(input, "cwd", str, ".")), timeout=timeout and timeout / 1000, capture_output=True, env={k: os.environ[k] for k in self.inherit if k in os.environ}, check=False)
+            done = subprocess.run([program, *args], input=field_of(input, "stdin", str, "").encode(), cwd=self.files.inside(field_of(input, "cwd", str, ".")), timeout=timeout and timeout / 1000, capture_output=True, env=self.env, check=False)
         except subprocess.TimeoutExpired as e:
             raise ToolError(f"{program!r} took longer than {timeout} ms", "timeout", True) from e
         except OSError as e:

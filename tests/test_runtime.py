@@ -21,7 +21,7 @@ from sparkloom.server import answer, serve
 from sparkloom.sources.base import Local, ToolError, conformance
 from sparkloom.sources.files import Files, text_within
 from sparkloom.sources.http import Http
-from sparkloom.sources.mcp import McpStdio, capability, normalize
+from sparkloom.sources.mcp import McpHttp, McpStdio, capability, normalize
 from sparkloom.sources.shell import Shell
 
 
@@ -349,11 +349,27 @@ def test_mcp(tmp_path):
         McpStdio("none", ["/no/such/program"]).call("x", {})
 
 
+def test_mcp_over_http():
+    class Client:
+        def request(self, method, url, headers, body):
+            m = json.loads(body)
+            if m["method"] == "initialize":
+                return 200, {"Content-Type": "application/json", "Mcp-Session-Id": "s1"}, json.dumps({"id": m["id"], "result": {"protocolVersion": "2025-06-18"}}).encode()
+            assert headers["mcp-session-id"] == "s1"
+            if "id" not in m:
+                return 202, {}, b""
+            events = [{"id": -1}, {"id": m["id"], "result": {"structuredContent": m["params"]["arguments"]}}]
+            return 200, {"Content-Type": "text/event-stream"}, "".join(f"event: message\ndata: {json.dumps(e)}\n\n" for e in events).encode()
+
+    assert McpHttp("s", "http://h/mcp", Client()).call("echo", {"a": 1}) == {"a": 1}
+
+
 def test_conformance_and_config(tmp_path):
     assert all(c.passed for c in conformance(Local(), "echo", {"a": 1}, {"a": 1}, "fail"))
     assert not all(c.passed for c in conformance(Local(), "const", {"a": 1}, {"a": 1}))
-    r = bound({"fs": [{"adapter": "fs", "root": str(tmp_path)}], "shell": [{"adapter": "sh"}], "http": [{"adapter": "h", "base_url": "https://x"}], "capabilities": [{"tool": "t", "adapter": "fs", "effects": {"pure": True}}]})
+    r = bound({"fs": [{"adapter": "fs", "root": str(tmp_path)}], "shell": [{"adapter": "sh", "env": {"A": "1"}, "inherit": ["PATH"], "default_timeout_ms": 9}], "http": [{"adapter": "h", "base_url": "https://x"}], "capabilities": [{"tool": "t", "adapter": "fs", "effects": {"pure": True}}]})
     assert set(r.executors) == {"builtin", "local", "fs", "sh", "h"} and r.capability("fs", "t").effects.pure
+    assert r.executors["sh"].env["A"] == "1" and set(r.executors["sh"].env) <= {"A", "PATH"}
     with pytest.raises(PlanError):
         bound({"ftp": []})
 

@@ -204,60 +204,57 @@ def _contexts(buckets: int, hot: np.ndarray):
             row = np.repeat(np.arange(len(ids)), np.diff(told.offsets.to_numpy()))
             flat_told = told.values.to_numpy(zero_copy_only=False)[told.offsets[0].as_py() :]
             shared = np.unique(np.rec.fromarrays([row, flat_told], names="row,hash"))
-            seen: dict[bytes, list[tuple[int, int]]] = {}
-            routes: dict[bytes, int] = {}
+            parts = []
             for flat, rows, starts, at in _pieces(b.column(1)):
                 h, part, first, last = _windows(flat, starts)
                 h, r = _hash_of(h), rows[part]
-                # rows of a batch and their hashes, as one sorted list of pairs
-                lo = np.searchsorted(shared["row"], r, side="left")
-                key = np.rec.fromarrays([r, h], names="row,hash")
-                place = _find(shared, key, lo)
-                good = np.flatnonzero(place)
-                is_hot = np.isin(h[good], hot)
-                data = flat.tobytes()
-                shift = at - starts[:-1]
-                for k, burning in zip(good.tolist(), is_hot.tolist(), strict=True):
-                    a, z, doc, move = int(first[k]), int(last[k]), int(ids[r[k]]), int(shift[part[k]])
-                    for s, e in ((w, w) for w in range(a, z + 1)) if burning else ((a, z),):
-                        own = data[s : e + LENGTH]
-                        seen.setdefault(own, []).append((doc, s + move))
-                        if own not in routes:
-                            routes[own] = (xxhash.xxh64_intdigest(own) if burning else int(h[k])) % buckets
-            yield from _sent(seen, routes)
+                good = np.flatnonzero(_find(shared, r, h))
+                burning = np.isin(h[good], hot)
+                k = good[~burning]
+                n = last[good[burning]] - first[good[burning]] + 1  # windows of anchors that are dealt out by windows
+                k = np.concatenate([k, np.repeat(good[burning], n)])
+                window = np.repeat(first[good[burning]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                a = np.concatenate([first[good[~burning]], window])
+                size = np.concatenate([last[good[~burning]] - first[good[~burning]], np.zeros(len(window), dtype=np.int64)]) + LENGTH
+                own = flat[np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+                route = h[k]
+                for x, place in enumerate(window.tolist(), len(k) - len(window)):
+                    route[x] = xxhash.xxh64_intdigest(flat[place : place + LENGTH].tobytes()) >> 1
+                parts.append((own, size, ids[r[k]], a + (at - starts[:-1])[part[k]], route % buckets))
+            if parts:
+                yield from _sent(*map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
 
-def _find(shared: np.ndarray, key: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Which keys stand in shared (sorted by row and hash)."""
-    if not len(shared):
-        return np.zeros(len(key), dtype=bool)
-    order = np.lexsort((np.r_[shared["hash"], key["hash"]], np.r_[shared["row"], key["row"]]))
-    row, value = np.r_[shared["row"], key["row"]][order], np.r_[shared["hash"], key["hash"]][order]
+def _find(shared: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which pairs of row and hash stand in shared."""
+    order = np.lexsort((np.r_[shared["hash"], hashes], np.r_[shared["row"], rows]))
+    row, value = np.r_[shared["row"], rows][order], np.r_[shared["hash"], hashes][order]
     group = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])]) - 1
-    has = np.zeros(group[-1] + 1, dtype=bool)
+    has = np.zeros(len(order) + 1, dtype=bool)
     has[group[order < len(shared)]] = True
     out = np.empty(len(order), dtype=bool)
     out[order] = has[group]
     return out[len(shared) :]
 
 
-def _sent(seen: dict[bytes, list[tuple[int, int]]], routes: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    for own, places in seen.items():
-        least = min(d for d, _ in places) if len(places) > 1 else places[0][0]
-        rows += [(routes[own], d, s, len(own), own if d == least else None) for d, s in places]
-        if len(rows) >= 1 << 15:
-            yield _batch(rows)
-            rows = []
-    if rows:
-        yield _batch(rows)
+def _alike(own: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """(the strings that lie one after another in own as a dictionary, each one's number in it, its least document)."""
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own))]).dictionary_encode()
+    code = coded.indices.to_numpy()
+    least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, doc)
+    return coded, code, least
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    k, d, s, n, own = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["bucket", "doc_id", "start", "size", "bytes"])
+def _sent(own: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, route: np.ndarray) -> Iterator[pa.RecordBatch]:
+    coded, code, least = _alike(own, size, doc)
+    strings = pc.if_else(pa.array(doc == least[code]), pc.take(coded.dictionary, coded.indices), pa.scalar(None, pa.large_binary())).cast(pa.binary())
+    whole = pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), strings], names=["bucket", "doc_id", "start", "size", "bytes"])
+    for lo in range(0, len(whole), 1 << 15):
+        yield whole.slice(lo, 1 << 15)
 
 
 class BlindTrie:
@@ -368,19 +365,29 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = whole.filter(pc.is_valid(whole["bytes"]))
     if not len(whole):
         return
-    sizes = whole["size"].to_numpy()
-    data = np.frombuffer(b"".join(c.as_buffer() for chunk in whole["bytes"].chunks for c in chunk), dtype=np.uint8)
-    docs, places = whole["doc_id"].to_numpy(), whole["start"].to_numpy()
-    n = sizes - LENGTH + 1
-    row = np.repeat(np.arange(len(sizes)), n)
+    own = np.frombuffer(b"".join(c.as_buffer() for chunk in whole["bytes"].chunks for c in chunk), dtype=np.uint8)
+    docs, places, sizes = (whole[c].to_numpy() for c in ("doc_id", "start", "size"))
+    coded, code, least = _alike(own, sizes, docs)
+    del whole, own
+    later = docs > least[code]  # all windows of these repeat; the others' suffixes are sorted, equal ones once
+    yield from _spans(docs[later], places[later], places[later] + sizes[later])
+    strings = coded.dictionary
+    data = np.frombuffer(strings.buffers()[2], dtype=np.uint8)
+    ends = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    n = np.diff(ends) - LENGTH + 1
+    row = np.repeat(np.arange(len(n)), n)
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    starts = (np.cumsum(sizes) - sizes)[row] + inner
-    order, group = sort_suffixes(data, starts)
-    doc = docs[row[order]]
+    order, group = sort_suffixes(data, ends[:-1][row] + inner)
+    doc = least[row[order]]
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    least = np.minimum.reduceat(doc, head)
-    gone = order[doc > least[group]]
-    d, s = docs[row[gone]], places[row[gone]] + inner[gone]
+    gone = order[doc > np.minimum.reduceat(doc, head)[group]]
+    # the windows found, for each row with its string's least document
+    by_code = np.argsort(code[~later], kind="stable")
+    first = np.searchsorted(code[~later][by_code], np.arange(len(n) + 1))
+    which = row[gone]
+    times = first[which + 1] - first[which]
+    at = np.flatnonzero(~later)[by_code][np.repeat(first[which] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+    d, s = docs[at], places[at] + np.repeat(inner[gone], times)
     by = np.lexsort((s, d))
     d, s = d[by], s[by]
     if len(d):

@@ -127,9 +127,20 @@ def rewrite(value: Any, rules: Mapping[str, Callable[[Any], Any]], keep_literal:
 
 def collect_refs(value: Any) -> list[ValueRef]:
     """References within a value, in order, each once."""
-    found: dict[ValueRef, None] = {}
-    rewrite(value, {REF: lambda text: found.setdefault(ValueRef.parse(text))})
-    return list(found)
+    found: dict[str, None] = {}
+    stack = [value]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, dict):
+            if REF in at:
+                if len(at) > 1:
+                    raise PlanError("invalid_marker", f"{REF} must be the only key")
+                found.setdefault(at[REF] if isinstance(at[REF], str) else canonical(at[REF]))
+            elif len(at) > 1 or LITERAL not in at:
+                stack += reversed(at.values())
+        elif isinstance(at, list):
+            stack += reversed(at)
+    return list(map(ValueRef.parse, found))
 
 
 def resolve_input(template: Any, outputs: Mapping[str, Any], item: Any = MISSING) -> Any:

@@ -86,23 +86,29 @@ def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)} AS t({columns})")
 
 
-def copies(df: DataFrame, source: str = "source", id: str = "doc_id", text: str = "text", *, entropy: float | None = None, repeats: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """df with _tokens (words of the text), _key (order in its source), _block and _copies (0 or more).
+def copies(df: DataFrame, **target) -> DataFrame:
+    """df with _tokens (words of the text), _key (order in its source), _block and _copies (0 or more); columns of df with
+    these names are replaced. Arguments as for packed_copies."""
+    new = ("_tokens", "_key", "_block", "_copies")
+    out = packed_copies(df, **target)
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in df.columns if c not in new], *new)
+
+
+def packed_copies(df: DataFrame, source: str = "source", id: str = "doc_id", text: str = "text", *, entropy: float | None = None, repeats: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """(_doc: df's row as a struct, _tokens, _key, _block, _copies).
 
     Null sources count as '', null texts as without words. Rows with the same id stand or fall together. A source
-    without tokens is used once. An empty table gives an empty result; columns with these names are an error.
+    without tokens is used once. An empty table gives an empty result.
     """
-    if clash := {"_tokens", "_key", "_block", "_copies"} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = df.sparkSession
     named = F.encode(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")), "UTF-8")
-    keyed = df.withColumns({"_source": named, "_tokens": F.size(words(F.col(f"`{text}`"))).cast("bigint"), "_key": order_key(F.col(f"`{id}`"), seed), "_id": F.col(f"`{id}`")})
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), named.alias("_source"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("_tokens"), order_key(F.col(f"`{id}`"), seed).alias("_key"), F.col(f"`{id}`").alias("_id"))
     light = settle(keyed.select("_source", "_tokens", "_key", "_id"), "mix-tokens")
     totals = light.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if not totals:
-        return keyed.drop("_source", "_id").withColumns({"_block": F.lit(0).cast("bigint"), "_copies": F.lit(1).cast("bigint")})
+        return keyed.select("_doc", "_tokens", "_key", F.lit(0).cast("bigint").alias("_block"), F.lit(1).cast("bigint").alias("_copies"))
     docs = {bytes(r["_source"]).decode(): r["docs"] for r in totals}
     _, shares = plan({bytes(r["_source"]).decode(): r["tokens"] for r in totals}, entropy=entropy, repeats=repeats, budget=budget)
     rows = [(s.source, s.budget // s.tokens if s.tokens else 1, s.budget % s.tokens if s.tokens else 0, -(-docs[s.source] // BLOCK)) for s in shares]
@@ -122,15 +128,14 @@ def copies(df: DataFrame, source: str = "source", id: str = "doc_id", text: str
     limits = F.broadcast(_values(spark, limits, "_source, epochs, blocks, cut_block, cut_key, cut_id"))
     block = _block(F.col("_key"), F.col("blocks"))
     more = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & F.coalesce((F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.col("_id") <= F.col("cut_id"))), F.lit(False)))
-    out = keyed.join(limits, "_source").withColumns({"_block": block, "_copies": F.col("epochs") + more.cast("bigint")})
-    return out.drop("_source", "_id", "epochs", "blocks", "cut_block", "cut_key", "cut_id")
+    return keyed.join(limits, "_source").select("_doc", "_tokens", "_key", block.alias("_block"), (F.col("epochs") + more.cast("bigint")).alias("_copies"))
 
 
 def mix(df: DataFrame, **target) -> DataFrame:
     """df's rows, each as often as its source's weight asks; columns as in df."""
     epochs = F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))
-    out = copies(df, **target).where("_copies > 0").withColumn("_epoch", F.explode(epochs))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    out = packed_copies(df, **target).where("_copies > 0").select("_doc", F.explode(epochs).alias("_epoch"))
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in df.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ MIN_WORDS = 20
 MOST_REPEATED = 30
 #: Percent of a document's characters that its good lines have at least.
 LEAST_KEPT = 50
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_good_chars")
 _SYMBOL = r"[#*$%&|<>]"
 _SPACES = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -44,12 +45,10 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     n_good_chars (code points of the good lines' words), kept.
 
     A null or empty text has no words and fails. Windows are compared by a 64-bit hash of their eight word hashes.
-    Columns of df with these names are an error (ValueError).
+    Columns of df with these names are replaced.
     """
-    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "good_lines", "n_lines", "n_good_chars", "kept"}
-    if clash := new & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    rest = [F.col(f"`{c}`") for c in df.columns]
+    inner = {"_w", "_lines", "_h", "_first", "_win", "_s"}
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in {*COLUMNS, "good_lines", *inner}]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = df.select(*rest, words(whole).alias("_w"), F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(_WORD)).alias("_lines"), F.regexp_count(whole, F.lit(_SYMBOL)).cast("bigint").alias("n_symbols"))
     two = one.select(
@@ -84,15 +83,15 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 def clean_documents(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The kept documents, with the same columns, text cut to the good lines and `length`, where it is a column, to match."""
+    others = [c for c in df.columns if c not in (text, length)]
+    packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
     # the row number keeps the filter above the projections, whose arrays lambdas would otherwise compute again per element
-    out = measure(df, text).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
-    out = out.withColumn(text, F.array_join("good_lines", "\n"))
-    if length in df.columns:
-        out = out.withColumn(length, F.length(F.col(f"`{text}`")).cast(df.schema[length].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    out = measure(packed, "_text").withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    out = out.select("_doc", F.array_join("good_lines", "\n").alias("_text"))
+    made = {text: F.col("_text")} | ({length: F.length("_text").cast(df.schema[length].dataType)} if length in df.columns else {})
+    return out.select(*[made.get(c, F.col("_doc").getField(c)).alias(c) for c in df.columns])
 
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_good_chars")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,16 +53,14 @@ def shard_names(n: int) -> list[str]:
 def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """df with the columns slot (long) and shard (name). Null keys count as empty text; equal keys always share a shard.
 
-    An empty table gives an empty result. Columns of df named like the new ones are an error (ValueError).
+    An empty table gives an empty result. Columns of df with the new ones' names are replaced.
     """
-    if clash := {slot, shard} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     names = ",".join(shards[k] for k in fill(shards, size))
-    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(names), ",")).alias("_slot", "_shard"))
-    lookup = lookup.select(F.col("_slot").cast("bigint").alias("_slot"), "_shard")
-    out = df.withColumn(slot, slot_of([F.col(f"`{k}`") for k in keys], size))
-    out = out.join(F.broadcast(lookup), F.col(slot) == F.col("_slot"), "left")  # at most MOST_SLOTS rows
-    return out.withColumnRenamed("_shard", shard).drop("_slot")
+    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(names), ",")).alias("_at", shard))
+    lookup = lookup.select(F.col("_at").cast("bigint").alias(slot), shard)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (slot, shard)]
+    out = df.select(*rest, slot_of([F.col(f"`{k}`") for k in keys], size).alias(slot))
+    return out.join(F.broadcast(lookup), slot, "left").select(*rest, slot, shard)  # at most MOST_SLOTS rows
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

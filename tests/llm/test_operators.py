@@ -254,8 +254,8 @@ def test_quality_rules_of_odd_rows(spark):
     c = compare.views("/root/testdata/sf0.001")
     c.register("odd", df.toPandas())
     compare.same(got, c.sql(quality_rules.oracle("odd")).df())
-    with pytest.raises(ValueError, match="exist"):
-        quality_rules.measure(table(spark, ODD, extra=True))
+    clash = quality_rules.measure(table(spark, ODD, extra=True)).select("doc_id", *quality_rules.COLUMNS, "score")
+    assert clash.schema["kept"].dataType.simpleString() == "boolean" and clash.count() == len(ODD)
     assert quality_rules.measure(table(spark, [])).count() == 0
 
 
@@ -263,7 +263,9 @@ def test_cleaning_keeps_good_lines(spark):
     good = "\n".join(" ".join(f"word{k}x{j}" for j in range(9)) + "." for k in range(5))
     bad = good + "\nHome | About | Help | Login\nAll rights reserved."
     rows = [(1, good, "s"), (2, bad, "s"), (3, "BUY NOW!! " * 40, "s"), (4, None, "s")]
-    got = {r.doc_id: (r.text, r.n_chars) for r in quality_rules.clean_documents(table(spark, rows)).collect()}
+    clean = quality_rules.clean_documents(table(spark, rows, extra=True))
+    assert clean.columns[5:] == EXTRA and all(r.kept == 1 and r._w == 1 for r in clean.collect())
+    got = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     assert got == {1: (good, len(good)), 2: (good, len(good))}
 
 
@@ -299,8 +301,8 @@ def test_mixing_realises_budgets(spark, monkeypatch, budget):
 
 
 def test_mixing_of_odd_rows(spark):
-    got = mixing.mix(table(spark, ODD, extra=False), repeats=2.0)
-    assert got.columns == [c.split()[0] for c in DOCS.split(", ")] and got.select("doc_id").distinct().count() == 9
+    got = mixing.mix(table(spark, ODD, extra=True).withColumn("_copies", F.lit("own")), repeats=2.0)
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")] + [*EXTRA, "_copies"] and {r._copies for r in got.collect()} == {"own"} and got.select("doc_id").distinct().count() == 9
     assert mixing.mix(table(spark, []), repeats=2.0).count() == 0
     assert mixing.mix(table(spark, [(1, "", "a"), (2, None, None)]), repeats=2.0).count() == 2
 
@@ -390,8 +392,8 @@ def test_sharding_of_odd_rows(spark):
     got = sharding.assign_shards(table(spark, ODD, extra=True), ["doc_id", "source"], ["a", "b"], 11).collect()
     assert len(got) == len(ODD) and {r.shard for r in got} <= {"a", "b"} and len({r.slot for r in got if r.doc_id == 4}) == 1
     assert sharding.assign_shards(table(spark, []), ["doc_id"], ["a"], 3).count() == 0
-    with pytest.raises(ValueError, match="exist"):
-        sharding.assign_shards(table(spark, ODD).withColumn("slot", F.lit(1)), ["doc_id"], ["a"], 3)
+    clash = sharding.assign_shards(table(spark, ODD).withColumn("slot", F.lit(77)).withColumn("shard", F.lit(1)), ["doc_id", "slot"], ["a"], 3)
+    assert {(r.shard, r.slot < 3) for r in clash.collect()} == {("a", True)}
 
 
 # --- 9 ----------------------------------------------------------------------------------------------------------
@@ -419,18 +421,18 @@ def test_forgetting_changes_nothing(monkeypatch, corpus, encoder):
 
 def test_token_files(spark, sf, corpus, encoder, tmp_path, monkeypatch):
     monkeypatch.setattr(token_output, "FRAME_BYTES", 4096)
-    rows = [(r.doc_id, r.text, "s") for r in corpus.itertuples()] + [(10_000, None, "s"), (10_001, "", "s"), (10_001, "twice", "s"), (-5, "first of all", "s")]
+    rows = [(r.doc_id, r.text, "s") for r in corpus.itertuples()] + [(10_000, None, "s"), (10_001, "", "s"), (10_001, "twice", "s"), (-5, "first of all", "s"), (None, "no id", "s")]
     docs = table(spark, rows, extra=True).repartition(5)
     manifest = token_output.write_tokens(docs, f"file://{tmp_path}/tokens")
     got = token_output.read_tokens(manifest).toPandas().sort_values("start")
-    order = sorted(rows, key=lambda r: r[0])
-    assert got.doc_id.tolist() == [i for i, _, _ in order]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+    assert [None if i != i else i for i in got.doc_id] == [i for i, _, _ in order]
     at = 0
     for r in got.itertuples():
         assert r.start == at
         at += r.n_tokens
     want = collections.Counter((i, len(ids := encoder.encode([t or ""])[0].tolist() + [2]), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t, _ in rows)
-    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got.itertuples()) == want
+    assert collections.Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.n_tokens, r.ids_crc32) for r in got.itertuples()) == want
     assert token_output.token_digest(spark, table(spark, [])).count() == 0
 
 

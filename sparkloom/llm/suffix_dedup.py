@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import few, settle, table
+from sparkloom.llm.common import few, settle, table, tidy
 
 LENGTH = 50
 GRAM = 24
@@ -420,13 +420,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _freed(df: DataFrame, name: str) -> DataFrame:
-    """df settled; the shuffle files that made it may go."""
-    out = settle(df, name)
-    del df
+def _free(spark: SparkSession) -> None:
+    """Shuffle files go when the driver finds that nothing refers to them; this makes it look now, between steps."""
     gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
+
+
+def _shared_anchors(long: DataFrame, size: int) -> DataFrame:
+    buckets = max(1, -(-size // TEXT_PER_TASK))
+    hot_from = max(HOT, 2 * size // (_SPAN + 1) // MOST_HOT)
+    entries = long.mapInArrow(tidy(_entries(buckets)), "bucket int, kind int, block binary").repartitionById(buckets, F.col("bucket"))
+    return settle(entries.mapInArrow(tidy(_shared(hot_from)), "doc_id bigint, hash bigint"), "shared-anchors")
+
+
+def _repeated_spans(long: DataFrame, shared: DataFrame) -> DataFrame:
+    told = shared.where("doc_id is not null")
+    hot = np.array(sorted(r["hash"] for r in shared.where("doc_id is null").select("hash").collect()), dtype=np.int64)  # at most MOST_HOT
+    parts = max(1, -(-told.count() * (LENGTH + _SPAN) // WINDOWS_PER_TASK))
+    hashes = told.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))  # at most one for each of the document's bytes
+    ids = few(settle(told.select("doc_id").distinct(), "ids"))
+    asked = long.join(ids, "doc_id", "left_semi").join(hashes, "doc_id").select("doc_id", "t", "hashes")
+    sent = asked.mapInArrow(tidy(_contexts(parts, hot)), "bucket int, doc_id bigint, start bigint, size bigint, bytes binary").repartitionById(parts, F.col("bucket"))
+    return settle(sent.mapInArrow(tidy(_repeats), "doc_id bigint, start bigint, end bigint"), "spans")
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -439,27 +454,16 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     light = settle(source.select("doc_id", F.length("t").cast("bigint").alias("n_bytes"), F.sha2("t", 256).alias("sha")), "texts")
     least = light.where(f"doc_id is not null and n_bytes >= {LENGTH}").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     least = settle(least.where("n > 1").drop("n"), "copies")
-    copies = _freed(light.join(least, ["sha", "n_bytes"]).where("doc_id > least").select("doc_id").distinct(), "later-copies")
+    copies = settle(light.join(least, ["sha", "n_bytes"]).where("doc_id > least").select("doc_id").distinct(), "later-copies")
     long = source.where(f"doc_id is not null and length(t) >= {LENGTH}").join(few(copies), "doc_id", "left_anti")
-    size = light.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, -(-size // TEXT_PER_TASK))
-    hot_from = max(HOT, 2 * size // (_SPAN + 1) // MOST_HOT)
-    entries = long.mapInArrow(_entries(buckets), "bucket int, kind int, block binary").repartitionById(buckets, F.col("bucket"))
-    shared = _freed(entries.mapInArrow(_shared(hot_from), "doc_id bigint, hash bigint"), "shared-anchors")
-    del entries
-    told = shared.where("doc_id is not null")
-    hot = np.array(sorted(r["hash"] for r in shared.where("doc_id is null").select("hash").collect()), dtype=np.int64)  # at most MOST_HOT
-    parts = max(1, -(-told.count() * (LENGTH + _SPAN) // WINDOWS_PER_TASK))
-    hashes = told.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))  # at most one for each of the document's bytes
-    ids = few(settle(told.select("doc_id").distinct(), "ids"))
-    asked = long.join(ids, "doc_id", "left_semi").join(hashes, "doc_id").select("doc_id", "t", "hashes")
-    sent = asked.mapInArrow(_contexts(parts, hot), "bucket int, doc_id bigint, start bigint, size bigint, bytes binary").repartitionById(parts, F.col("bucket"))
-    spans = _freed(sent.mapInArrow(_repeats, "doc_id bigint, start bigint, end bigint"), "spans")
-    del asked, sent
+    shared = _shared_anchors(long, light.agg(F.sum("n_bytes")).first()[0] or 0)
+    _free(docs.sparkSession)
+    spans = _repeated_spans(long, shared)
+    _free(docs.sparkSession)
     ids = few(settle(spans.select("doc_id").distinct(), "ids"))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = long.join(ids, "doc_id", "left_semi").join(by_doc, "doc_id").select("doc_id", "t", "spans")
-    cut = cut.mapInArrow(_cut, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = cut.mapInArrow(tidy(_cut), "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     cut = cut if with_text else cut.drop("kept")
     gone = copies.select("doc_id", F.lit(True).alias("copy"))
     base = (light if not with_text else light.join(source.withColumnRenamed("t", "whole"), "doc_id", "left")).join(gone, "doc_id", "left").join(cut, "doc_id", "left")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker gives freed memory back: workers live on between stages, and what they
+    hold counts against their executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # the C library may have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 #: Ids that a join broadcasts; beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -66,8 +83,9 @@ def few(ids: DataFrame) -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """docs without the rows whose id stands in ids (one column); columns as they are, null ids stay."""
-    gone = settle(ids.select(F.col(ids.columns[0]).alias("_gone")), "ids")
-    return docs.join(few(gone), F.col(f"`{id}`") == F.col("_gone"), "left_anti")
+    name = max([*docs.columns, "_gone"], key=len) + "_"  # a name that docs doesn't have
+    gone = settle(ids.select(F.col(ids.columns[0]).alias(name)), "ids")
+    return docs.join(few(gone), F.col(f"`{id}`") == F.col(f"`{name}`"), "left_anti")
 
 
 def words(text: Column) -> Column:

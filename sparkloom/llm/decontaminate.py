@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparkloom.llm.common import table, without_ids
+from sparkloom.llm.common import table, tidy, without_ids
 
 SEGMENT = 64
 BLOCK = 8
@@ -259,7 +259,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
                 lo = hi
 
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), hashed_words(F.col(f"`{text}`")).alias("w"))
-    return rows.mapInArrow(run, f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import table, tidy
 from sparkloom.llm.labelled import class_weights, fold, logistic, sigmoid, training_rows
 
 PER_CLASS = 2500
@@ -96,7 +96,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(texts), pa.float64())], names=["doc_id", name])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(f"`{text}`").cast("binary")).mapInArrow(run, f"doc_id {kind}, {name} double")
+    return docs.select("doc_id", F.col(f"`{text}`").cast("binary")).mapInArrow(tidy(run), f"doc_id {kind}, {name} double")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,9 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, settle, table
+from sparkloom.llm.common import fresh_path, settle, table, tidy
 
 END_ID = 2
+#: Stands in the files for a missing document id; such documents come first.
+NO_ID = -(1 << 63)
 #: Bytes of token ids in a frame, about; a longer document has a frame of its own.
 FRAME_BYTES = 1 << 18
 LEVEL = 1
@@ -279,10 +281,10 @@ def open_reader(uri: str) -> Reader:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files under folder and returns their manifest (part, path, docs, tokens), settled.
 
-    Null texts are empty: the end id alone. Null ids are an error. Rows with one id stand by a hash of their texts; an
-    empty table writes no file. Other columns are ignored."""
+    Null texts are empty: the end id alone. Rows without an id come first and keep a null id. Rows with one id stand by a
+    hash of their texts; an empty table writes no file. Other columns are ignored."""
     tokenizer = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(f"`{id}`").cast("bigint").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("bigint"), F.lit(NO_ID)).alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     rows = rows.withColumn("o", F.xxhash64("t")).repartitionByRange("i", "o").sortWithinPartitions("i", "o")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +294,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         fs, path = store(uri)
         end = np.array([end_id], dtype=np.uint32)
         for b in batches:
-            if b.column(0).null_count:
-                raise ValueError("a document has no id")
             if b.num_rows and out is None:
                 fs.create_dir(os.path.dirname(path), recursive=True)
                 out = fs.open_output_stream(path, compression=None)
@@ -307,7 +307,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "docs": pa.array([writer.docs], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
 
-    return settle(rows.select("i", "t").mapInArrow(run, "part int, path string, docs bigint, tokens bigint"), "token-manifest")
+    return settle(rows.select("i", "t").mapInArrow(tidy(run), "part int, path string, docs bigint, tokens bigint"), "token-manifest")
 
 
 def _runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -331,10 +331,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 reader = open_reader(path)
                 for group in itertools.batched(reader.frames, 16):
-                    rows = [(d, base + at, len(t), zlib.crc32(t.astype("<u4").tobytes())) for f in group for d, at, t in reader.documents(f)]
+                    rows = [(None if d == NO_ID else d, base + at, len(t), zlib.crc32(t.astype("<u4").tobytes())) for f in group for d, at, t in reader.documents(f)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

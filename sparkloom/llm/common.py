@@ -36,24 +36,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of an Arrow batch while a table is settled, so that two Python workers an executor stay small.
-ARROW_BATCH = "16m"
+ARROW_BATCH = "4m"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: str) -> Iterator[None]:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, ARROW_BATCH)
+    spark.conf.set(key, size)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, batch: str = ARROW_BATCH) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, batch):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, few, settle, table, without_ids, words
+from sparkloom.llm.common import connected_components, few, settle, table, tidy, without_ids, words
 from sparkloom.llm.decontaminate import runs
 
 SHINGLE = 5
@@ -228,16 +228,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """
     hashed = F.transform(words(F.col("t")), lambda w: F.xxhash64(w))
     source = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("t"))
-    sketch = source.select("doc_id", hashed.alias("h")).mapInArrow(_sketch, "doc_id bigint, set_key binary, size bigint, bands array<bigint>")
+    sketch = source.select("doc_id", hashed.alias("h")).mapInArrow(tidy(_sketch), "doc_id bigint, set_key binary, size bigint, bands array<bigint>")
     sketch = settle(sketch, "sketches")
     reps = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     reps = settle(reps, "representatives")
     units = _units(reps)
     need = few(settle(units.select(F.col("rep").alias("doc_id")).distinct(), "needed"))
-    sets = source.join(need, "doc_id", "left_semi").select("doc_id", hashed.alias("h")).dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep bigint, values binary, shingles binary")
+    sets = source.join(need, "doc_id", "left_semi").select("doc_id", hashed.alias("h")).dropDuplicates(["doc_id"]).mapInArrow(tidy(_sets), "rep bigint, values binary, shingles binary")
     rows = units.join(reps.select("rep", "copies"), "rep").join(sets, "rep")
     rows = rows.repartition("unit").sortWithinPartitions("unit", "side", "rep").select("unit", "band", "side", "rep", "copies", "values", "shingles")
-    links = settle(rows.mapInArrow(_work, "rep bigint, joined bigint, links bigint"), "links")
+    links = settle(rows.mapInArrow(tidy(_work), "rep bigint, joined bigint, links bigint"), "links")
     joined = connected_components(links.select(F.col("rep").alias("a"), F.col("joined").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("set_key", "rep", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
@@ -259,4 +259,15 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates}
-ORACLES: dict[str, str] = {}
+#: The same by comparing every two documents that share a shingle.
+ORACLES = {"op1_near_duplicates": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, least({SHINGLE}, len(w)) AS k, unnest(range(1, len(w) - least({SHINGLE}, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS key FROM sh GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT p.a, p.b FROM pairs p JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b WHERE {OVER + UNDER} * p.c >= {OVER} * (x.n + y.n)
+), reach AS (SELECT doc_id AS n, doc_id AS m FROM documents UNION SELECT r.n, l.b FROM reach r JOIN links l ON l.a = r.m
+), classes AS (SELECT n AS doc_id, min(m) AS class_id FROM reach GROUP BY n)
+SELECT d.doc_id, CASE WHEN s.key IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY s.key) END AS copy_of, c.class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+FROM documents d JOIN classes c USING (doc_id) LEFT JOIN sets s USING (doc_id)
+"""}

@@ -38,6 +38,8 @@ PIECE, TEXT_PER_TASK, WINDOWS_PER_TASK = 1 << 21, 32 << 20, 8 << 20
 #: Anchors of more documents than this, and than a MOST_HOT-th of all anchors, are dealt out by windows.
 HOT, MOST_HOT = 50_000, 1_000_000
 SHALLOW = 40
+#: An Arrow batch of texts; what repeats within one is sent once.
+BATCH = "16m"
 
 
 def _constants() -> tuple[np.ndarray, list[np.uint64]]:
@@ -193,8 +195,8 @@ def _shared(hot: int):
 
 
 def _contexts(buckets: int, hot: np.ndarray):
-    """Rows (bucket, doc_id, start, size, bytes) for documents (doc_id, text, hashes): the bytes under the windows of a
-    shared anchor. Where several documents of a batch have the same bytes, the least one's go; the others' windows all
+    """Rows (bucket, block) for documents (doc_id, text, hashes); a block holds (doc_id, start, size, bytes): the bytes under
+    the windows of a shared anchor. Where several documents of a batch have the same bytes, the least one's go; the others' windows all
     repeat, which rows without bytes say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +254,20 @@ def _alike(own: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[pa.Dicti
 def _sent(own: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, route: np.ndarray) -> Iterator[pa.RecordBatch]:
     coded, code, least = _alike(own, size, doc)
     strings = pc.if_else(pa.array(doc == least[code]), pc.take(coded.dictionary, coded.indices), pa.scalar(None, pa.large_binary())).cast(pa.binary())
-    whole = pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), strings], names=["bucket", "doc_id", "start", "size", "bytes"])
-    for lo in range(0, len(whole), 1 << 15):
-        yield whole.slice(lo, 1 << 15)
+    order = np.argsort(route, kind="stable")
+    whole = pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(size), strings], names=["doc_id", "start", "size", "bytes"]).take(pa.array(order))
+    buckets, heads = np.unique(route[order], return_index=True)
+    ends = np.r_[heads[1:], len(order)]
+    for lo in range(0, len(buckets), 64):
+        blocks = [_packed(whole.slice(a, z - a)) for a, z in zip(heads[lo : lo + 64].tolist(), ends[lo : lo + 64].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets[lo : lo + 64], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
 class BlindTrie:
@@ -356,10 +369,11 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, start, end) of spans whose windows a smaller document has too."""
-    held = [b for b in batches if b.num_rows]
+    held = [pa.ipc.open_stream(block.as_buffer()).read_all() for b in batches for block in b.column(1)]
     if not held:
         return
-    whole = pa.Table.from_batches(held)
+    whole = pa.concat_tables(held)
+    del held
     local = whole.filter(pc.is_null(whole["bytes"]))
     yield from _spans(local["doc_id"].to_numpy(), local["start"].to_numpy(), local["start"].to_numpy() + local["size"].to_numpy())
     whole = whole.filter(pc.is_valid(whole["bytes"]))
@@ -430,7 +444,7 @@ def _shared_anchors(long: DataFrame, size: int) -> DataFrame:
     buckets = max(1, -(-size // TEXT_PER_TASK))
     hot_from = max(HOT, 2 * size // (_SPAN + 1) // MOST_HOT)
     entries = long.mapInArrow(tidy(_entries(buckets)), "bucket int, kind int, block binary").repartitionById(buckets, F.col("bucket"))
-    return settle(entries.mapInArrow(tidy(_shared(hot_from)), "doc_id bigint, hash bigint"), "shared-anchors")
+    return settle(entries.mapInArrow(tidy(_shared(hot_from)), "doc_id bigint, hash bigint"), "shared-anchors", BATCH)
 
 
 def _repeated_spans(long: DataFrame, shared: DataFrame) -> DataFrame:
@@ -440,8 +454,8 @@ def _repeated_spans(long: DataFrame, shared: DataFrame) -> DataFrame:
     hashes = told.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))  # at most one for each of the document's bytes
     ids = few(settle(told.select("doc_id").distinct(), "ids"))
     asked = long.join(ids, "doc_id", "left_semi").join(hashes, "doc_id").select("doc_id", "t", "hashes")
-    sent = asked.mapInArrow(tidy(_contexts(parts, hot)), "bucket int, doc_id bigint, start bigint, size bigint, bytes binary").repartitionById(parts, F.col("bucket"))
-    return settle(sent.mapInArrow(tidy(_repeats), "doc_id bigint, start bigint, end bigint"), "spans")
+    sent = asked.mapInArrow(tidy(_contexts(parts, hot)), "bucket int, block binary").repartitionById(parts, F.col("bucket"))
+    return settle(sent.mapInArrow(tidy(_repeats), "doc_id bigint, start bigint, end bigint"), "spans", BATCH)
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -485,4 +499,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-ORACLES: dict[str, str] = {}
+#: The same by the least document of every window.
+ORACLES = {"op3_suffix_dedup": f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (SELECT doc_id, i, h[2 * i + 1:2 * i + {2 * LENGTH}] AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM h WHERE length(h) >= {2 * LENGTH})
+), gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id
+), marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM gone
+), numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked
+), spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS z FROM numbered GROUP BY ALL
+), gaps AS (SELECT doc_id, k, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM spans
+), cut AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY k) || substr(any_value(h), (2 * max(z) + 1)::BIGINT) AS kept FROM gaps JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)
+"""}

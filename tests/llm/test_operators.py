@@ -40,7 +40,7 @@ def corpus(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").toPandas()
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules", "op5_mixing", "op8_sharding", "op10_url_filters"])
+@pytest.mark.parametrize("name", ["op1_near_duplicates", "op3_suffix_dedup", "op4_quality_rules", "op5_mixing", "op8_sharding", "op10_url_filters"])
 def test_oracle(name, spark, sf):
     compare.same(registry.queries()[name](spark, sf).toPandas(), compare.views(sf).sql(registry.oracle_sql()[name]).df())
 

@@ -36,8 +36,8 @@ QUESTION, ANSWER = 0.6, 0.6
 MOST_ITEMS = 200_000
 #: Cells of an impact table; beyond, postings are searched.
 MOST_CELLS = 1 << 23
-#: Words searched at once.
-PIECE = 1 << 16
+#: Words looked up at once, and passages searched at once, however long their text.
+PIECE, AT_ONCE = 1 << 16, 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,7 +188,10 @@ class Index:
         in_one, in_two = half < per_doc[doc], half > 0
         passage = np.concatenate([one[in_one], two[in_two]])
         order = np.argsort(passage, kind="stable")
-        p, s, score = self.search(passage[order], np.concatenate([term[in_one], term[in_two]])[order])
+        passage, term = passage[order], np.concatenate([term[in_one], term[in_two]])[order]
+        cuts = np.searchsorted(passage, np.arange(0, int(per_doc.sum()) + AT_ONCE, AT_ONCE))
+        hits = [(self.search(passage[a:z] - k * AT_ONCE, term[a:z]), k * AT_ONCE) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+        p, s, score = (np.concatenate(x) for x in zip(*[(p + k, s, v) for (p, s, v), k in hits], strict=True)) if hits else (np.empty(0, dtype=np.int64),) * 3
         best: dict[tuple[int, int], list] = {}
         for x, k, v in zip(p.tolist(), self.item[s].tolist(), score.tolist(), strict=True):
             d = int(np.searchsorted(first, x, side="right")) - 1

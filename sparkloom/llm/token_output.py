@@ -41,7 +41,7 @@ NO_ID = -(1 << 63)
 FRAME_BYTES = 1 << 18
 LEVEL = 1
 #: Space-separated pieces whose ids a worker remembers; then it forgets them all.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 600_000
 NEAR = 8_000
 _PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?:;]?")
 _SKIP_INDEX, _SKIP_SEEK, _SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1

@@ -43,6 +43,8 @@ LEVEL = 1
 #: Space-separated pieces whose ids a worker remembers; then it forgets them all.
 MOST_KNOWN = 600_000
 NEAR = 8_000
+#: Stands before a text's first piece; no text holds a lone surrogate.
+_START = "\ud800"
 _PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?:;]?")
 _SKIP_INDEX, _SKIP_SEEK, _SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = struct.Struct("<qqQI")
@@ -61,8 +63,8 @@ class Encoder:
 
     The byte-level pattern never joins a space to what stands before it, nor a line's end to what stands on either side,
     except inside a run of white space; so a text without such runs is the sum of its pieces split before each space and
-    around each line's end. Other texts go to the library whole. A
-    new piece that is a plain word goes straight to the library's model: the pattern would split it at most before its
+    around each line's end. Other texts, those in which white space of any kind follows a line's end among them, go to the
+    library whole. A new piece that is a plain word goes straight to the library's model: the pattern would split it at most before its
     last mark, across which no token of the vocabulary reaches.
     """
 
@@ -104,7 +106,7 @@ class Encoder:
                 ids += [t.id for t in tokens]
                 sizes.append(len(tokens))
         if other:
-            encoded = self.tokenizer.encode([p.removeprefix("\x00") for p in other], is_pretokenized=True, add_special_tokens=False)
+            encoded = self.tokenizer.encode([p.removeprefix(_START) for p in other], is_pretokenized=True, add_special_tokens=False)
             ids += encoded.ids
             sizes += np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(other)).tolist()
         pieces, first, more = plain + other, len(self.known), len(ids)
@@ -115,7 +117,7 @@ class Encoder:
         last, n = first + len(pieces), np.array(sizes, dtype=np.int64)
         self.ids[self.used : self.used + more] = ids
         self.begin[first:last], self.size[first:last] = self.used + np.cumsum(n) - n, n
-        self.risky[first + len(plain) : last] = [p in ("", " ") or (p[-1].isspace() and p not in ("\n", "\x00")) for p in other]
+        self.risky[first + len(plain) : last] = [p != "\n" and (p in ("", " ") or p[-1].isspace() or (p[0].isspace() and p[0] != " ")) for p in other]
         self.used += more
         self.known.update(zip(pieces, range(first, last), strict=True))
 
@@ -135,10 +137,13 @@ class Encoder:
 
     @staticmethod
     def _split(text: str) -> list[str]:
-        """A text's pieces: a line's end alone, and what stands between spaces, each with the space before it."""
+        """A text's pieces: a line's end alone, and what stands between spaces, each with the space before it. A text that
+        can't be split is one empty piece, which is risky."""
         if "\x1f" in text:
-            return ["\x00" + text]
-        return ("\x00" + text).replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+            return [""]
+        pieces = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+        pieces[0] = _START + pieces[0]
+        return pieces
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if not self.splits:

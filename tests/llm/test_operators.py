@@ -412,6 +412,17 @@ def test_encoding_is_the_librarys(encoder, corpus):
         assert [encoder.encode([t])[0].tolist() for t in texts] == want
 
 
+def test_white_space_after_line_ends_and_nul(encoder):
+    """Runs of white space that begin with a line's end, of any characters, and a NUL where a piece begins."""
+    spaces = ["\t", "\u00a0", "\u2003", "\u3000", "\r", "\x0b", "\x85"]
+    texts = [f"a{s}b" for s in ("\n\u00a0\u00a0", "\n\x00", "\x00", "\n\x00\x00", " \x00")]
+    texts += ["\x00b", "\x00", "\x00\x00b", "\x00\nb", "\n\x00"]
+    texts += [f"{a}{line}{x}{y}{b}" for a in ("", "a") for line in ("", "\n", "\n\n") for x in spaces for y in ("", " ", *spaces) for b in ("", "b", " b", ".")]
+    got = [x.tolist() for x in encoder.encode(texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder.encode([t])[0].tolist() for t in texts] == got
+
+
 def test_forgetting_changes_nothing(monkeypatch, corpus, encoder):
     monkeypatch.setattr(token_output, "MOST_KNOWN", 50)
     e = token_output.Encoder(token_output.default_tokenizer())

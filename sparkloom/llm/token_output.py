@@ -63,8 +63,8 @@ class Encoder:
 
     The byte-level pattern never joins a space to what stands before it, nor a line's end to what stands on either side,
     except inside a run of white space; so a text without such runs is the sum of its pieces split before each space and
-    around each line's end. Other texts, those in which white space of any kind follows a line's end among them, go to the
-    library whole. A new piece that is a plain word goes straight to the library's model: the pattern would split it at most before its
+    around each line's end. Other texts, those in which white space of any kind follows a line's end and those that hold an
+    added token's string among them, go to the library whole. A new piece that is a plain word goes straight to the library's model: the pattern would split it at most before its
     last mark, across which no token of the vocabulary reaches.
     """
 
@@ -73,7 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
         self.splits = pattern.get("type") == "ByteLevel" and pattern.get("use_regex") and not pattern.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -135,11 +135,10 @@ class Encoder:
             self.near = {p: self.known[p] for p, _ in Counter(pieces).most_common(NEAR)}
         return at
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
+    def _split(self, text: str) -> list[str]:
         """A text's pieces: a line's end alone, and what stands between spaces, each with the space before it. A text that
         can't be split is one empty piece, which is risky."""
-        if "\x1f" in text:
+        if "\x1f" in text or any(a in text for a in self.added):
             return [""]
         pieces = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
         pieces[0] = _START + pieces[0]

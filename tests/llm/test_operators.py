@@ -13,6 +13,7 @@ import compare
 import numpy as np
 import pyarrow as pa
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from sparkloom.llm import (
@@ -423,6 +424,14 @@ def test_white_space_after_line_ends_and_nul(encoder):
     assert [encoder.encode([t])[0].tolist() for t in texts] == got
 
 
+def test_added_tokens_are_found_as_by_a_fresh_tokenizer(encoder, corpus):
+    fresh = tokenizers.Tokenizer.from_file(token_output.default_tokenizer())
+    texts = ["<|endoftext|>", "x <|endoftext|> y", "a\n<|endoftext|>\nb", "word<|endoftext|><|endoftext|>.", "<|endoftext", *corpus.text.head(50)]
+    got = [x.tolist() for x in encoder.encode(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [50256]
+
+
 def test_forgetting_changes_nothing(monkeypatch, corpus, encoder):
     monkeypatch.setattr(token_output, "MOST_KNOWN", 50)
     e = token_output.Encoder(token_output.default_tokenizer())

@@ -348,6 +348,24 @@ def test_classifiers_on_held_out_rows(spark, tmp_path, kind, query, n, out, leas
     assert got[got.doc_id.isin([1000, 1001])].score.nunique() == 1
 
 
+def test_a_capped_class_keeps_its_rate(spark, tmp_path, monkeypatch):
+    """Labels without a word that tells: the scores are the rate of all labelled rows, however few of a class are trained on."""
+    rng = random.Random(3)
+    docs = table(spark, [(i, " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(12)), "s") for i in range(600)])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id bigint, quality int, toxic int")
+    f = Folder(spark, tmp_path, docs, labels)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 40)
+    got = toxicity.op6_toxicity(spark, f.path).toPandas()
+    assert got.score.mean() < 0.25 and got.predicted.mean() < 0.1
+
+
+def test_threshold_of_weighted_rows():
+    """Where a clean row stands for ten, the best threshold leaves it out."""
+    y, s = np.array([1, 1, 1, 1, 0, 0, 0, 0.0]), np.array([0.8, 0.8, 0.4, 0.4, 0.5, 0.2, 0.2, 0.2])
+    assert toxicity.calibrate(s, y, [""] * 8, labelled.class_weights(y, 0.5))[""] == 0.4
+    assert toxicity.calibrate(s, y, [""] * 8, labelled.class_weights(y, 4 / 44))[""] == 0.8
+
+
 def test_classifiers_without_labels(spark, tmp_path):
     f = Folder(spark, tmp_path, table(spark, ODD), spark.createDataFrame([(1, None, None)], "doc_id bigint, quality int, toxic int"))
     for query in (toxicity.op6_toxicity, quality_classifier.op7_quality_classifier):

@@ -7,6 +7,7 @@ whole number of MASS units, so sums don't depend on their order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -38,6 +39,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def under(host: Column, name: str) -> Column:
+    """Whether a host is this name or below it; a name that ends in .* stands for any top-level domain."""
+    if name.endswith(".*"):
+        return host.rlike(rf"(^|\.){re.escape(name[:-2])}\.[^.]+$")
     return (host == name) | host.endswith(f".{name}")
 
 
@@ -53,12 +57,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) between different hosts: links in html to another host, and each host to its parent domain
-    where that is a host of the table itself. pages: host, html (null: no links)."""
+    """Distinct (src, dst) between different hosts: links in html to another host, and each host to its parent domain,
+    that one to its own, and so on down to two labels, whether a page has them as its host or not. pages: host, html (null: no links)."""
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1)), lambda h: F.translate(h, _UPPER, _LOWER)))).alias("dst"))
     hosts = pages.where("host <> ''").select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("dst"))
-    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
+    labels = F.split("host", r"\.")
+    names = F.when(F.col("host").rlike(r"^[0-9.]+(:[0-9]*)?$"), F.array("host")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    up = hosts.select(F.explode(F.arrays_zip(F.slice(names, 1, F.size(names) - 1).alias("src"), F.slice(names, 2, F.size(names)).alias("dst"))).alias("e")).select("e.src", "e.dst")
     return links.union(up).where("src <> dst").distinct()
 
 
@@ -83,8 +88,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = BLOCKED_SEEDS, url: str = "url", html: str = "html", id: str = "page_id") -> DataFrame:
     """(id, host, path, rule, verdict) of every page.
 
-    Trusted seeds are the hosts of which a rule allows a page, blocked seeds the hosts under `blocked`, which never count
-    as trusted. Without a rule the verdict is the host's: block if distrust reaches BLOCK_FROM hundredths of its rank,
+    Trusted seeds are the hosts of which a rule allows a page, blocked seeds the hosts of pages or of the graph under
+    `blocked`, which never count as trusted. Without a rule the verdict is the host's: block if distrust reaches BLOCK_FROM hundredths of its rank,
     else allow; a host that neither rank reaches is allowed, and so is an empty host. Null urls have an empty host and
     path; repeated rows are judged each; other columns are ignored.
     """
@@ -94,7 +99,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     bad = reduce(lambda a, b: a | b, [under(F.col("host"), h) for h in blocked], F.lit(False))
     seeds = base.where("host <> ''").groupBy("host").agg(F.max(F.coalesce(said == "allow", F.lit(False))).alias("good"))
     seeds = seeds.select("host", F.when(bad, "distrust").when(F.col("good"), "trust").alias("kind")).where("kind is not null")
-    rank = propagate(host_edges(base), seeds)
+    edges = settle(host_edges(base), "host-links")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("host")).where(bad).select("host", F.lit("distrust").alias("kind"))
+    rank = propagate(edges, seeds.union(nodes).distinct())
     score = rank.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0)).alias("distrust"))
     score = score.where(f"distrust > 0 and distrust * 100 >= {BLOCK_FROM} * (trust + distrust)").select("host", F.lit("block").alias("_judged"))
     judged = base.select("page_id", "host", "path", text.alias("rule"), said.alias("_said")).join(score, "host", "left")

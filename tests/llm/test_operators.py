@@ -522,6 +522,17 @@ def test_distrust_flows_against_links(spark):
     assert got == {"spam.example.org": "block", "friend.org": "block", "www.friend.org": "block", "good.net": "allow", "fine.org": "allow", "alone.org": "allow"}
 
 
+def test_domains_without_pages_are_in_the_graph(spark):
+    """A link to a blocked domain that is no page's host, and seeds for any top-level domain."""
+    rows = [("http://m.bad.example.org/x", None), ("http://friend.org/x", '<a href="http://bad.example.org/">'), ("http://fine.net/x", None), ("http://10.0.0.1/x", None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id bigint, url string, html string")
+    edges = {tuple(r) for r in urls.host_edges(df.select(urls.host_and_path(F.col("url"))[0].alias("host"), "html")).collect()}
+    assert edges == {("m.bad.example.org", "bad.example.org"), ("bad.example.org", "example.org"), ("friend.org", "bad.example.org")}
+    for seed in ("bad.example.org", "bad.example.*"):
+        got = {r.host: r.verdict for r in urls.filter_urls(df, blocked=[seed]).collect()}
+        assert got == {"m.bad.example.org": "block", "friend.org": "block", "fine.net": "allow", "10.0.0.1": "allow"}
+
+
 def test_rank_matches_a_loop(spark):
     rng = random.Random(6)
     edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}") for _ in range(30)}

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a folder of this machine
+    serves a session without other machines (tests); on a cluster that is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sparkloom-')}")
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir, which the cluster shares; where it is unset one is made."""
+    """df checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.settling import shared_dir
 from sparkloom.plans.frontends import PlanBuilder, compile_recipe, ref, splice
 from sparkloom.plans.ir import Node, Plan, parse_plan
 from sparkloom.plans.runtime import Runtime
@@ -94,8 +94,7 @@ def scan_files(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 def write_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Written by a plan's effectful node, then scanned by one that waits for it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = f"{shared or 'file://' + tempfile.mkdtemp(prefix='sparkloom-')}/nations-{spark.sparkContext.applicationId}"
+    path = f"{shared_dir(spark)}/nations-{spark.sparkContext.applicationId}"
     b = PlanBuilder()
     b.plan = Plan(tools=table_tools())
     b.node("n", "scan", {"path": "nation.parquet"}).node("r", "scan", {"path": "region.parquet"})

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from sparkloom.llm import (
+    decontaminate, mixing, near_duplicates, quality_classifier, quality_rules, sharding, suffix_dedup, token_output, toxicity, urls,
+)
 
 #: The modules of the operators, in the order of their numbers.
-MODULES = ("near_duplicates", "decontaminate", "quality_rules", "mixing", "toxicity", "quality_classifier", "sharding", "suffix_dedup", "token_output", "urls")
+MODULES = (near_duplicates, decontaminate, suffix_dedup, quality_rules, mixing, toxicity, quality_classifier, sharding, token_output, urls)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"sparkloom.llm.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for m in MODULES for k, sql in import_module(f"sparkloom.llm.{m}").ORACLES.items()}
+    return {k: sql for m in MODULES for k, sql in m.ORACLES.items()}

@@ -1,30 +1,33 @@
 """Removal of long repeats by sorting suffixes (deep-shallow sorting, after Manzini and Ferragina).
 
-A byte goes if a LENGTH-byte string over it also starts in a document with a smaller id. Only suffixes that can repeat
-are sorted. Each LENGTH-byte window has an anchor, the least hashed GRAM of bytes within it; equal windows have equal
-anchors, so a window whose anchor occurs in one document alone is unique. Steps, each settled in the shared folder:
+A byte goes if a LENGTH-byte string over it also starts in a document with a smaller id. What is equal is decided by one
+sort alone: suffixes are put into buckets by their first symbol of eight bytes, multikey quicksort orders them to a shallow
+depth, and blind tries order the groups that still agree, to LENGTH bytes. Only suffixes that can repeat are sorted: each
+LENGTH-byte window has an anchor, the least hashed GRAM of bytes within it, and equal windows have equal anchors, so a
+window whose anchor occurs in one document alone is unique. Steps, each settled in the shared folder:
 
 1. whole texts that equal an earlier one are set aside: all their windows repeat, and they are never needed as a source
 2. anchors meet by their hash; those that several documents have are told to these documents
-3. documents send, for each shared anchor, the bytes under its windows to the task of the anchor's hash
-4. there the suffixes that start a window are sorted to LENGTH bytes: multikey quicksort to a shallow depth, by symbols of
-   eight bytes, then blind tries for groups that still agree; windows that end up together repeat
-5. the windows' runs become spans, which are cut out of the texts
-
-What repeats within one Arrow batch is settled there and sent once, and anchors of very many documents are dealt out by
-whole windows rather than by anchor, so no task holds all documents with a common passage.
+3. documents sort the suffixes under shared anchors, a piece of text at a time. Windows that a smaller document of the
+   piece has too are decided there; the bytes under the others go to the bucket of their anchor's hash
+4. buckets sort what reaches them, and the windows that a smaller document has become spans
+5. spans are cut out of the texts
+
+Decided spans travel by their document. Anchors of more than HOT documents are dealt out by whole windows, first to one of
+SALTS buckets, whose least documents alone go on to the window's own. So no task holds all documents with a common
+passage. A task works on its buckets one after another, so the number of partitions stays below MOST_PARTITIONS however
+large the input, and buckets have one size.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,19 @@ from sparkloom.llm.common import few, settle, table, tidy
 LENGTH = 50
 GRAM = 24
 _SPAN = LENGTH - GRAM + 1
-#: Bytes of text hashed at once, of text whose anchors a task sorts, and of windows whose suffixes a task sorts.
-PIECE, TEXT_PER_TASK, WINDOWS_PER_TASK = 1 << 21, 32 << 20, 8 << 20
-#: Anchors of more documents than this, and than a MOST_HOT-th of all anchors, are dealt out by windows.
-HOT, MOST_HOT = 50_000, 1_000_000
-SHALLOW = 40
-#: An Arrow batch of texts; what repeats within one is sent once.
+#: Bytes of text sorted at once, of text whose anchors a bucket has, and of windows whose suffixes a bucket sorts.
+PIECE, TEXT_PER_BUCKET, WINDOWS_PER_BUCKET = 1 << 21, 32 << 20, 4 << 20
+BUCKETS_A_TASK, MOST_PARTITIONS = 3, 8192
+#: Anchors of more documents than this are dealt out by windows, over SALTS buckets first.
+HOT, SALTS = 50_000, 64
+#: Multikey quicksort ends here; blind tries go on to LENGTH.
+SHALLOW = 24
+#: Distinct strings of a group that are found for all groups at once, before tries take them one by one.
+AT_ONCE = 4
+#: An Arrow batch of texts.
 BATCH = "16m"
+#: A row's place among the different texts of one id stands above this bit of a position.
+_PART = 40
 
 
 def _constants() -> tuple[np.ndarray, list[np.uint64]]:
@@ -125,11 +134,42 @@ def _hash_of(h: np.ndarray) -> np.ndarray:
 
 
 _ENTRY = np.dtype([("hash", "<i8"), ("doc", "<i8")])
+_KINDS = "bucket int, kind int, block binary"
+_SPAN_COLUMNS = "doc_id bigint, start bigint, end bigint"
+
+
+def _rows(buckets: list[np.ndarray], kinds: list[np.ndarray], blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    bucket, kind = np.concatenate(buckets), np.concatenate(kinds)
+    for lo in range(0, len(blocks), 256):
+        arrays = [pa.array(bucket[lo : lo + 256], pa.int32()), pa.array(kind[lo : lo + 256], pa.int32()), pa.array(blocks[lo : lo + 256], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "block"])
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, the buckets that occur, where each begins in that order, where it ends)."""
+    order = np.argsort(bucket, kind="stable")
+    own, heads = np.unique(bucket[order], return_index=True)
+    return order, own, heads, np.r_[heads, len(order)][1:]
+
+
+def _bucketwise(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, pa.Scalar]]]:
+    """(kind, block) of one bucket after another, from rows sorted by bucket."""
+    held: list[tuple[int, pa.Scalar]] = []
+    last = None
+    for b in batches:
+        for bucket, kind, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if bucket != last and held:
+                yield held
+                held = []
+            last = bucket
+            held.append((kind, block))
+    if held:
+        yield held
 
 
 def _entries(buckets: int):
     """Rows (bucket, kind, block). Kind 0: (hash, document) where the batch has one document with the hash; 1: (hash,
-    number of documents) where it has more, all of which it tells itself, in rows of kind 2."""
+    number of documents) where it has more, all of which it tells itself, in rows of kind 2, which go by their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,15 +188,14 @@ def _entries(buckets: int):
             n = np.diff(np.r_[head, len(pair)])
             many = pair[head[n > 1]].copy()
             many["doc"] = n[n > 1]
-            out = []
-            for kind, rows in ((0, pair[head[n == 1]]), (1, many), (2, pair[np.repeat(n > 1, n)])):
-                bucket = rows["hash"] % buckets
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out += [(k, kind, rows[order[ends[k] : ends[k + 1]]].tobytes()) for k in range(buckets) if ends[k + 1] > ends[k]]
-            for lo in range(0, len(out), 256):
-                k, kind, block = zip(*out[lo : lo + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "kind", "block"])
+            out: tuple[list, list, list] = ([], [], [])
+            for kind, rows, by in ((0, pair[head[n == 1]], "hash"), (1, many, "hash"), (2, pair[np.repeat(n > 1, n)], "doc")):
+                order, own, begin, end = _by_bucket(rows[by] % buckets)
+                rows = rows[order]
+                out[0].append(own)
+                out[1].append(np.full(len(own), kind))
+                out[2].extend(rows[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True))
+            yield from _rows(*out)
 
     return run
 
@@ -165,25 +204,23 @@ def _shared(hot: int):
     """Rows (doc_id, hash) of shared anchors, and (null, hash) of those in more than `hot` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        for b in batches:
-            for kind, block in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                rows = np.frombuffer(block.as_buffer(), dtype=_ENTRY)
-                if kind < 2:
-                    held[kind].append(rows)
-                else:
-                    yield from told(rows["doc"], rows["hash"])
-        one, many = (np.concatenate(x) if x else np.empty(0, dtype=_ENTRY) for x in held)
-        del held
-        key = np.concatenate([one["hash"], many["hash"]])
-        count = np.concatenate([np.ones(len(one), dtype=np.int64), many["doc"]])
-        order = np.argsort(key, kind="stable")
-        head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else order
-        total = np.add.reduceat(count[order], head) if len(key) else count
-        is_shared = np.repeat(total > 1, np.diff(np.r_[head, len(key)]))
-        of_one = order[is_shared & (order < len(one))]
-        yield from told(one["doc"][of_one], one["hash"][of_one])
-        yield from told(None, key[order][head[total > hot]])
+        for rows in _bucketwise(batches):
+            held: list[list[np.ndarray]] = [[], [], []]
+            for kind, block in rows:
+                held[kind].append(np.frombuffer(block.as_buffer(), dtype=_ENTRY))
+            one, many, known = (np.concatenate(x) if x else np.empty(0, dtype=_ENTRY) for x in held)
+            yield from told(known["doc"], known["hash"])
+            key = np.concatenate([one["hash"], many["hash"]])
+            if not len(key):
+                continue
+            count = np.concatenate([np.ones(len(one), dtype=np.int64), many["doc"]])
+            order = np.argsort(key, kind="stable")
+            head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            total = np.add.reduceat(count[order], head)
+            is_shared = np.repeat(total > 1, np.diff(np.r_[head, len(key)]))
+            of_one = order[is_shared & (order < len(one))]
+            yield from told(one["doc"][of_one], one["hash"][of_one])
+            yield from told(None, key[order][head[total > hot]])
 
     def told(docs: np.ndarray | None, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(hashes), 1 << 16):
@@ -194,37 +231,73 @@ def _shared(hot: int):
     return run
 
 
-def _contexts(buckets: int, hot: np.ndarray):
-    """Rows (bucket, block) for documents (doc_id, text, hashes); a block holds (doc_id, start, size, bytes): the bytes under
-    the windows of a shared anchor. Where several documents of a batch have the same bytes, the least one's go; the others' windows all
-    repeat, which rows without bytes say."""
+def _told(column: pa.Array) -> np.ndarray:
+    """(row, hash) of a column of lists of hashes, sorted."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
+    return np.unique(np.rec.fromarrays([row, flat], names="row,hash"))
+
+
+def _spread(head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """head[k], head[k] + 1, ... of size[k] numbers, for one k after another."""
+    return np.repeat(head - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _route(grams_at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number of the windows that start at first, from the hashes of their first and last grams."""
+    with np.errstate(over="ignore"):
+        mixed = (grams_at[first] ^ (grams_at[first + _SPAN - 1] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+    return _hash_of(mixed)
+
+
+def _contexts(buckets: int):
+    """Rows (bucket, kind, block) for documents (doc_id, part, text, hashes, hot hashes). Kind 0: bytes under the windows of
+    a shared anchor that no smaller document of the piece has, 1: the same, a window each, of hot anchors; 2: decided
+    spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            told = b.column(2)
-            row = np.repeat(np.arange(len(ids)), np.diff(told.offsets.to_numpy()))
-            flat_told = told.values.to_numpy(zero_copy_only=False)[told.offsets[0].as_py() :]
-            shared = np.unique(np.rec.fromarrays([row, flat_told], names="row,hash"))
-            parts = []
-            for flat, rows, starts, at in _pieces(b.column(1)):
+            ids, lead = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            shared, hot = _told(b.column(3)), _told(b.column(4))
+            sent: tuple[list, list] = ([], [])
+            spans = []
+            for flat, rows, starts, at in _pieces(b.column(2)):
                 h, part, first, last = _windows(flat, starts)
                 h, r = _hash_of(h), rows[part]
                 good = np.flatnonzero(_find(shared, r, h))
-                burning = np.isin(h[good], hot)
-                k = good[~burning]
-                n = last[good[burning]] - first[good[burning]] + 1  # windows of anchors that are dealt out by windows
-                k = np.concatenate([k, np.repeat(good[burning], n)])
-                window = np.repeat(first[good[burning]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                a = np.concatenate([first[good[~burning]], window])
-                size = np.concatenate([last[good[~burning]] - first[good[~burning]], np.zeros(len(window), dtype=np.int64)]) + LENGTH
-                own = flat[np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-                route = h[k]
-                for x, place in enumerate(window.tolist(), len(k) - len(window)):
-                    route[x] = xxhash.xxh64_intdigest(flat[place : place + LENGTH].tobytes()) >> 1
-                parts.append((own, size, ids[r[k]], a + (at - starts[:-1])[part[k]], route % buckets))
-            if parts:
-                yield from _sent(*map(np.concatenate, zip(*parts, strict=True)))
+                h, part, first, last, r = h[good], part[good], first[good], last[good], r[good]
+                shift = (at - starts[:-1])[part] + (lead[r].astype(np.int64) << _PART)
+                doc = ids[r]
+                # windows whose anchor several documents of the piece have are sorted here
+                by = np.lexsort((doc, h))
+                meets = np.zeros(len(by), dtype=bool)
+                if len(by):
+                    head = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
+                    tail = np.r_[head[1:], len(by)] - 1
+                    meets[by] = np.repeat(doc[by][head] != doc[by][tail], tail - head + 1)
+                size = last - first + 1
+                run_of = np.repeat(np.arange(len(first)), size)
+                window = _spread(first, size)
+                gone = np.zeros(len(window), dtype=bool)
+                local = np.flatnonzero(meets[run_of])
+                gone[local] = _later(flat, window[local], doc[run_of[local]])
+                if gone.any():
+                    spans.append(_joined(doc[run_of[gone]], (window + shift[run_of])[gone]))
+                burning = _find(hot, r, h) if len(hot) else np.zeros(len(h), dtype=bool)
+                stays = np.flatnonzero(~gone)
+                lone = burning[run_of[stays]]
+                if lone.any():
+                    alone = stays[lone]
+                    own = run_of[alone]
+                    route = _route(grams(flat), window[alone]) + doc[own] % SALTS
+                    sent[1].append((flat[_spread(window[alone], np.full(len(alone), LENGTH))], np.full(len(alone), LENGTH), doc[own], (window + shift[run_of])[alone], route % buckets))
+                stays = stays[~lone]
+                if len(stays):
+                    new = np.flatnonzero(np.r_[True, (run_of[stays][1:] != run_of[stays][:-1]) | (window[stays][1:] != window[stays][:-1] + 1)])
+                    begin, own = window[stays[new]], run_of[stays[new]]
+                    wide = np.diff(np.r_[new, len(stays)]) + LENGTH - 1
+                    sent[0].append((flat[_spread(begin, wide)], wide, doc[own], begin + shift[own], h[own] % buckets))
+            yield from _sent(buckets, sent, spans)
 
     return run
 
@@ -241,33 +314,115 @@ def _find(shared: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> np.ndarra
     return out[len(shared) :]
 
 
-def _alike(own: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """(the strings that lie one after another in own as a dictionary, each one's number in it, its least document)."""
-    offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own))]).dictionary_encode()
-    code = coded.indices.to_numpy()
-    least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
-    np.minimum.at(least, code, doc)
-    return coded, code, least
-
-
-def _sent(own: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, route: np.ndarray) -> Iterator[pa.RecordBatch]:
-    coded, code, least = _alike(own, size, doc)
-    strings = pc.if_else(pa.array(doc == least[code]), pc.take(coded.dictionary, coded.indices), pa.scalar(None, pa.large_binary())).cast(pa.binary())
-    order = np.argsort(route, kind="stable")
-    whole = pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(size), strings], names=["doc_id", "start", "size", "bytes"]).take(pa.array(order))
-    buckets, heads = np.unique(route[order], return_index=True)
-    ends = np.r_[heads[1:], len(order)]
-    for lo in range(0, len(buckets), 64):
-        blocks = [_packed(whole.slice(a, z - a)) for a, z in zip(heads[lo : lo + 64].tolist(), ends[lo : lo + 64].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(buckets[lo : lo + 64], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+def _later(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which suffixes of data at starts agree to LENGTH bytes with one of a smaller document."""
+    gone = np.zeros(len(starts), dtype=bool)
+    if len(starts):
+        order, group = sort_suffixes(data, starts)
+        own = doc[order]
+        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        gone[order] = own > np.repeat(np.minimum.reduceat(own, head), np.diff(np.r_[head, len(order)]))
+    return gone
+
+
+def _joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the spans that the windows starting at start make."""
+    by = np.lexsort((start, doc))
+    d, s = doc[by], start[by]
+    begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + LENGTH)])
+    last = np.r_[begin[1:] - 1, len(d) - 1]
+    return d[begin], s[begin], s[last] + LENGTH
+
+
+def _held(block: bytes) -> int:
+    """How many contexts a block holds."""
+    return int.from_bytes(block[:4], "little")
+
+
+def _sent(buckets: int, contexts: tuple[list, list], spans: list) -> Iterator[pa.RecordBatch]:
+    """The rows of _contexts. contexts: by kind lists of (bytes, sizes, documents, starts, buckets)."""
+    out: tuple[list, list, list] = ([], [], [])
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for kind, parts in enumerate(contexts):
+        if not parts:
+            continue
+        own, size, doc, start, route = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, some, begin, end = _by_bucket(route)
+        own = own[_spread((np.cumsum(size) - size)[order], size[order])]
+        size, doc, start = size[order], doc[order], start[order]
+        byte = np.r_[0, np.cumsum(size)]
+        for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+            block = b"".join(((y - x).to_bytes(4, "little"), doc[x:y].tobytes(), start[x:y].tobytes(), size[x:y].astype(np.uint8).tobytes(), own[byte[x] : byte[y]].tobytes()))
+            out[2].append(squeeze(block))
+        out[0].append(some)
+        out[1].append(np.full(len(some), kind))
+    if spans:
+        doc, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+        order, some, begin, stop = _by_bucket(doc % buckets)
+        rows = np.stack([doc[order], start[order], end[order]], axis=1)
+        out[0].append(some)
+        out[1].append(np.full(len(some), 2))
+        out[2].extend(squeeze(rows[x:y].tobytes()) for x, y in zip(begin.tolist(), stop.tolist(), strict=True))
+    if out[2]:
+        yield from _rows(*out)
+
+
+def _opened(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, sizes, documents, starts) of blocks of contexts."""
+    parts = []
+    for block in blocks:
+        n = _held(block)
+        wide = np.frombuffer(block, np.uint8, n, 4 + 16 * n).astype(np.int64)
+        parts.append((np.frombuffer(block, np.uint8, offset=4 + 17 * n), wide, np.frombuffer(block, "<i8", n, 4), np.frombuffer(block, "<i8", n, 4 + 8 * n)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _repeats(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, start, end) of spans whose windows a smaller document has too, and (bucket, kind, block) of hot windows
+    (kind 1) that no smaller document of their bucket has, for the windows' own buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        for rows in _bucketwise(batches):
+            plain: list[list[bytes]] = [[], [], []]
+            for kind, block in rows:
+                plain[kind].append(unsqueeze(block.as_buffer()))
+            del rows
+            for block in plain[2]:
+                yield from spans(*np.frombuffer(block, "<i8").reshape(-1, 3).T)
+            if plain[0] or plain[1]:
+                hot = len(plain[1])
+                own, size, doc, start = _opened(plain[1] + plain[0])
+                n_hot = sum(_held(x) for x in plain[1]) if hot else 0
+                plain.clear()
+                yield from judged(own, size, doc, start, n_hot)
+
+    def judged(own: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, n_hot: int) -> Iterator[pa.RecordBatch]:
+        begin, n = np.cumsum(size) - size, size - LENGTH + 1
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        suffix = _spread(begin, n)
+        gone = _later(own, suffix, doc[row])
+        if gone.any():
+            row_gone = row[gone]
+            yield from spans(*_joined(doc[row_gone], start[row_gone] + suffix[gone] - begin[row_gone]))
+        on = np.flatnonzero(~gone[:n_hot])  # hot contexts come first and are of one window
+        if len(on):
+            route = _route(grams(own[: n_hot * LENGTH]), on * LENGTH) % buckets
+            whole = own[: n_hot * LENGTH].reshape(-1, LENGTH)[on].ravel()
+            for b in _sent(buckets, ([], [(whole, size[on], doc[on], start[on], route)]), []):
+                yield out(b, None)
+
+    def spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(doc), 1 << 16):
+            yield out(None, [pa.array(x[lo : lo + (1 << 16)].astype(np.int64)) for x in (doc, start, end)])
+
+    def out(sent: pa.RecordBatch | None, found: list[pa.Array] | None) -> pa.RecordBatch:
+        n = len(sent) if sent else len(found[0])
+        left = found or [pa.nulls(n, pa.int64())] * 3
+        right = sent.columns if sent else [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays([*left, *right], names=["doc_id", "start", "end", "bucket", "kind", "block"])
 
-def _packed(rows: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(rows)
-    return sink.getvalue().to_pybytes()
+    return run
 
 
 class BlindTrie:
@@ -320,103 +475,108 @@ def _symbols(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _quicksorted(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): the suffixes at starts by their first SHALLOW bytes, and where groups of equal ones begin.
+
+    The first symbol deals the suffixes into buckets. Multikey quicksort goes on in all buckets at once: each has a pivot,
+    the middle one of three symbols, and falls into three parts, of which the equal one goes on to the next symbol."""
+    n = len(starts)
+    first = symbols[starts]
+    order = np.argsort(first)
+    first = first[order]
+    is_head = np.r_[True, first[1:] != first[:-1]]
+    lo = np.flatnonzero(is_head)
+    size = np.diff(np.r_[lo, n])
+    lo, size = lo[size > 1], size[size > 1]
+    depth = np.full(len(lo), 8)
+    if SHALLOW <= 8:
+        lo = lo[:0]
+    while len(lo):
+        at = _spread(lo, size)
+        own = order[at]
+        ends = np.cumsum(size)
+        begin = ends - size
+        of = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        v = symbols[starts[own] + depth[of]]
+        a, b, c = v[begin], v[begin + size // 2], v[ends - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[of]
+        less, more = v < pivot, v > pivot
+        parts = [np.flatnonzero(x) for x in (less, ~(less | more), more)]
+        counts = np.stack([np.bincount(of[x], minlength=len(lo)) for x in parts], axis=1)
+        offset = np.cumsum(counts, axis=1) - counts
+        for k, x in enumerate(parts):
+            to = (lo + offset[:, k] - (np.cumsum(counts[:, k]) - counts[:, k]))[of[x]] + np.arange(len(x))
+            order[to] = own[x]
+        lo = (lo[:, None] + offset).ravel()
+        size = counts.ravel()
+        is_head[lo[size > 0]] = True
+        depth = np.stack([depth, depth + 8, depth], axis=1).ravel()
+        goes_on = (size > 1) & (depth < SHALLOW)
+        lo, size, depth = lo[goes_on], size[goes_on], depth[goes_on]
+    return order, np.flatnonzero(is_head)
+
+
 def sort_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): the suffixes of data at starts in the order of their first LENGTH bytes, and for each in that order
-    the number of its group of equal ones."""
+    the number of its group of equal ones.
+
+    In a group that agrees to SHALLOW bytes, the first suffix is the blind trie's first leaf; what agrees with a leaf to
+    LENGTH bytes goes there, compared for all groups at once; the first that does not is the next leaf. After AT_ONCE
+    leaves the rest are inserted one by one. Only groups with more than one leaf need a trie."""
+    if not len(starts):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     symbols = _symbols(data)
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), dtype=np.int64)
-    active = np.arange(len(starts)) if len(starts) > 1 else np.empty(0, dtype=np.int64)
-    for depth in range(0, SHALLOW, 8):  # multikey quicksort: groups that agree so far go on to the next symbol
-        if not len(active):
+    order, head = _quicksorted(symbols, starts)
+    size = np.diff(np.r_[head, len(order)])
+    deep = np.flatnonzero(size > 1)
+    at = _spread(head[deep], size[deep])
+    of = np.repeat(np.arange(len(deep)), size[deep])
+    leaf = np.zeros(len(at), dtype=np.int64)
+    left = np.arange(len(at))
+    places = (*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8)
+    for k in range(AT_ONCE):
+        if not len(left):
             break
-        value = symbols[starts[order[active]] + depth]
-        by = np.lexsort((value, group[active])) if depth else np.argsort(value, kind="quicksort")
-        order[active] = order[active[by]]
-        value = value[by]
-        new = np.r_[False, (value[1:] != value[:-1]) & (group[active][1:] == group[active][:-1])]
-        step = np.zeros(len(starts), dtype=np.int64)
-        step[active] = new
-        group += np.cumsum(step)
-        sizes = np.bincount(group)
-        active = np.flatnonzero(sizes[group] > 1)
-    if len(active):  # the groups that still agree
-        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        lead = starts[order[head[group[active]]]]
-        own = starts[order[active]]
-        same = np.ones(len(active), dtype=bool)
-        for depth in (*range(SHALLOW, LENGTH - 7, 8), LENGTH - 8):
-            same &= symbols[own + depth] == symbols[lead + depth]
-        mixed = np.unique(group[active[~same]])  # the others have one leaf
-        step = np.zeros(len(starts), dtype=np.int64)
-        raw = data.tobytes()
-        ends = np.r_[head[1:], len(starts)]
-        for g in mixed.tolist():
-            a, z = int(head[g]), int(ends[g])
-            members = order[a:z].tolist()
-            trie = BlindTrie(raw[starts[members[0]] + SHALLOW : starts[members[0]] + LENGTH], members[0])
-            for m in members[1:]:
-                trie.insert(raw[starts[m] + SHALLOW : starts[m] + LENGTH], m)
-            at = a
-            for leaf in trie.leaves():
-                order[at : at + len(leaf)] = leaf
-                if at > a:
-                    step[at] = 1
-                at += len(leaf)
-        group += np.cumsum(step)
-    return order, group
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, start, end) of spans whose windows a smaller document has too."""
-    held = [pa.ipc.open_stream(block.as_buffer()).read_all() for b in batches for block in b.column(1)]
-    if not held:
-        return
-    whole = pa.concat_tables(held)
-    del held
-    local = whole.filter(pc.is_null(whole["bytes"]))
-    yield from _spans(local["doc_id"].to_numpy(), local["start"].to_numpy(), local["start"].to_numpy() + local["size"].to_numpy())
-    whole = whole.filter(pc.is_valid(whole["bytes"]))
-    if not len(whole):
-        return
-    own = np.frombuffer(b"".join(c.as_buffer() for chunk in whole["bytes"].chunks for c in chunk), dtype=np.uint8)
-    docs, places, sizes = (whole[c].to_numpy() for c in ("doc_id", "start", "size"))
-    coded, code, least = _alike(own, sizes, docs)
-    del whole, own
-    later = docs > least[code]  # all windows of these repeat; the others' suffixes are sorted, equal ones once
-    yield from _spans(docs[later], places[later], places[later] + sizes[later])
-    strings = coded.dictionary
-    data = np.frombuffer(strings.buffers()[2], dtype=np.uint8)
-    ends = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    n = np.diff(ends) - LENGTH + 1
-    row = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    order, group = sort_suffixes(data, ends[:-1][row] + inner)
-    doc = least[row[order]]
-    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    gone = order[doc > np.minimum.reduceat(doc, head)[group]]
-    # the windows found, for each row with its string's least document
-    by_code = np.argsort(code[~later], kind="stable")
-    first = np.searchsorted(code[~later][by_code], np.arange(len(n) + 1))
-    which = row[gone]
-    times = first[which + 1] - first[which]
-    at = np.flatnonzero(~later)[by_code][np.repeat(first[which] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
-    d, s = docs[at], places[at] + np.repeat(inner[gone], times)
-    by = np.lexsort((s, d))
-    d, s = d[by], s[by]
-    if len(d):
-        begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + LENGTH)])
-        last = np.r_[begin[1:] - 1, len(d) - 1]
-        yield from _spans(d[begin], s[begin], s[last] + LENGTH)
-
-
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(doc), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)].astype(np.int64)) for x in (doc, start, end)], names=["doc_id", "start", "end"])
+        first = np.flatnonzero(np.r_[True, of[left][1:] != of[left][:-1]])
+        lead = np.repeat(left[first], np.diff(np.r_[first, len(left)]))
+        one, two = starts[order[at[left]]], starts[order[at[lead]]]
+        same = np.ones(len(left), dtype=bool)
+        for d in places:
+            same &= symbols[one + d] == symbols[two + d]
+        leaf[left[same]] = k
+        left = left[~same]
+    leaf[left] = AT_ONCE + np.arange(len(left))
+    mixed = np.zeros(len(deep), dtype=bool)
+    mixed[of[leaf > 0]] = True
+    is_head = np.zeros(len(order), dtype=bool)
+    is_head[head] = True
+    if mixed.any():
+        part = np.flatnonzero(mixed[of])
+        by = part[np.lexsort((leaf[part], of[part]))]
+        new = np.flatnonzero(np.r_[True, (of[by][1:] != of[by][:-1]) | (leaf[by][1:] != leaf[by][:-1])])
+        rank = np.empty(len(new), dtype=np.int64)
+        raw, lead, group = data.tobytes(), starts[order[at[by[new]]]].tolist(), of[by[new]]
+        ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1
+        x = 0
+        for y in ends.tolist():
+            trie = BlindTrie(raw[lead[x] + SHALLOW : lead[x] + LENGTH], x)
+            for u in range(x + 1, y):
+                trie.insert(raw[lead[u] + SHALLOW : lead[u] + LENGTH], u)
+            for k, leaves in enumerate(trie.leaves()):
+                rank[leaves] = k
+            x = y
+        own = np.repeat(rank, np.diff(np.r_[new, len(by)]))
+        final = np.lexsort((own, of[by]))
+        order[at[part]] = order[at[by[final]]]
+        rows, own = of[by[final]], own[final]
+        is_head[at[part]] = np.r_[True, (rows[1:] != rows[:-1]) | (own[1:] != own[:-1])]
+    return order, np.cumsum(is_head) - 1
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans that overlap or touch become one."""
+    if not len(starts):
+        return starts, ends
     by = np.argsort(starts, kind="stable")
     starts, ends = starts[by], np.maximum.accumulate(ends[by])
     new = np.r_[True, starts[1:] > ends[:-1]]
@@ -426,12 +586,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            x, y = merged(spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy())
+        for doc, part, text, spans in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3), strict=True):
+            own = spans.values.field(0).to_numpy() >> _PART == part
+            base = part << _PART
+            x, y = merged(spans.values.field(0).to_numpy()[own] - base, spans.values.field(1).to_numpy()[own] - base)
             kept = b"".join(text[a:z] for a, z in zip([0, *y.tolist()], [*x.tolist(), len(text)], strict=True))
-            out.append((doc, int((y - x).sum()), len(x), hashlib.sha256(kept).hexdigest(), kept))
-        doc, n, k, sha, kept = zip(*out, strict=True) if out else ((),) * 5
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((doc, part, int((y - x).sum()), len(x), hashlib.sha256(kept).hexdigest(), kept))
+        columns = zip(*out, strict=True) if out else ((),) * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "part", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _free(spark: SparkSession) -> None:
@@ -440,57 +603,87 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _buckets(size: int, each: int) -> tuple[int, int]:
+    """(buckets, partitions)."""
+    buckets = max(1, -(-size // each))
+    return buckets, min(MOST_PARTITIONS, -(-buckets // BUCKETS_A_TASK))
+
+
+def _dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    return rows.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket")
+
+
 def _shared_anchors(long: DataFrame, size: int) -> DataFrame:
-    buckets = max(1, -(-size // TEXT_PER_TASK))
-    hot_from = max(HOT, 2 * size // (_SPAN + 1) // MOST_HOT)
-    entries = long.mapInArrow(tidy(_entries(buckets)), "bucket int, kind int, block binary").repartitionById(buckets, F.col("bucket"))
-    return settle(entries.mapInArrow(tidy(_shared(hot_from)), "doc_id bigint, hash bigint"), "shared-anchors", BATCH)
+    buckets, partitions = _buckets(size, TEXT_PER_BUCKET)
+    entries = _dealt(long.select("doc_id", "t").mapInArrow(tidy(_entries(buckets)), _KINDS), partitions)
+    return settle(entries.mapInArrow(tidy(_shared(HOT)), "doc_id bigint, hash bigint"), "shared-anchors", BATCH)
 
 
 def _repeated_spans(long: DataFrame, shared: DataFrame) -> DataFrame:
-    told = shared.where("doc_id is not null")
-    hot = np.array(sorted(r["hash"] for r in shared.where("doc_id is null").select("hash").collect()), dtype=np.int64)  # at most MOST_HOT
-    parts = max(1, -(-told.count() * (LENGTH + _SPAN) // WINDOWS_PER_TASK))
-    hashes = told.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))  # at most one for each of the document's bytes
-    ids = few(settle(told.select("doc_id").distinct(), "ids"))
-    asked = long.join(ids, "doc_id", "left_semi").join(hashes, "doc_id").select("doc_id", "t", "hashes")
-    sent = asked.mapInArrow(tidy(_contexts(parts, hot)), "bucket int, block binary").repartitionById(parts, F.col("bucket"))
-    return settle(sent.mapInArrow(tidy(_repeats), "doc_id bigint, start bigint, end bigint"), "spans", BATCH)
+    told, hot = shared.where("doc_id is not null"), shared.where("doc_id is null").select("hash", F.lit(True).alias("hot"))
+    any_hot = not hot.isEmpty()
+    told = told.join(few(hot), "hash", "left") if any_hot else told.withColumn("hot", F.lit(None).cast("boolean"))
+    buckets, partitions = _buckets(told.count() * (LENGTH + _SPAN // 2), WINDOWS_PER_BUCKET)
+    # at most one hash for each of the document's bytes
+    hashes = told.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
+    ids = few(settle(shared.where("doc_id is not null").select("doc_id").distinct(), "ids"))
+    asked = long.join(ids, "doc_id", "left_semi").join(hashes, "doc_id").select("doc_id", "part", "t", "hashes", "hot")
+    sent = _dealt(asked.mapInArrow(tidy(_contexts(buckets)), _KINDS), partitions)
+    found = settle(sent.mapInArrow(tidy(_repeats(buckets)), f"{_SPAN_COLUMNS}, {_KINDS}"), "spans", BATCH)
+    spans = found.where("doc_id is not null").select("doc_id", "start", "end")
+    if any_hot:
+        again = _dealt(found.where("block is not null").select("bucket", "kind", "block"), partitions)
+        again = settle(again.mapInArrow(tidy(_repeats(buckets)), f"{_SPAN_COLUMNS}, {_KINDS}"), "hot-spans", BATCH)
+        spans = spans.union(again.where("doc_id is not null").select("doc_id", "start", "end"))
+    return spans
+
+
+def _clashes(light: DataFrame) -> DataFrame:
+    """(doc_id, sha, part): the place of each different text of an id that has several."""
+    ids = light.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("sha")).alias("shas")).where("size(shas) > 1")
+    return settle(ids.select("doc_id", F.posexplode("shas").alias("part", "sha")), "id-clashes")
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and kept (binary) if with_text.
 
-    Ids are whole numbers, one document each; a row without an id neither loses bytes nor makes others lose any. Null
-    texts are empty. Texts shorter than LENGTH bytes stay as they are. An empty table gives an empty result.
+    Ids are whole numbers. Rows of one id are one document: they lose nothing for each other's sake, each loses what
+    smaller ids have, and equal rows have equal results. A row without an id neither loses bytes nor makes others lose any.
+    Null texts are empty. Texts shorter than LENGTH bytes stay as they are. An empty table gives an empty result.
     """
     source = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("t"))
     light = settle(source.select("doc_id", F.length("t").cast("bigint").alias("n_bytes"), F.sha2("t", 256).alias("sha")), "texts")
-    least = light.where(f"doc_id is not null and n_bytes >= {LENGTH}").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    least = settle(least.where("n > 1").drop("n"), "copies")
-    copies = settle(light.join(least, ["sha", "n_bytes"]).where("doc_id > least").select("doc_id").distinct(), "later-copies")
-    long = source.where(f"doc_id is not null and length(t) >= {LENGTH}").join(few(copies), "doc_id", "left_anti")
+    clash = _clashes(light)
+    if clash.isEmpty():
+        same = ["doc_id"]
+        parted = lambda df: df.withColumn("part", F.lit(0))
+    else:
+        same = ["doc_id", "sha"]
+        parted = lambda df: (df if "sha" in df.columns else df.withColumn("sha", F.sha2("t", 256))).join(few(clash), same, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    least = light.where(f"doc_id is not null and n_bytes >= {LENGTH}").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least")
+    least = settle(least.drop("most"), "copies")
+    copies = settle(light.join(few(least), ["sha", "n_bytes"]).where("doc_id > least").select("doc_id", "sha").distinct(), "later-copies")
+    long = parted(source.where(f"doc_id is not null and length(t) >= {LENGTH}")).join(few(copies.select(*same)), same, "left_anti").select("doc_id", "part", "t")
     shared = _shared_anchors(long, light.agg(F.sum("n_bytes")).first()[0] or 0)
     _free(docs.sparkSession)
     spans = _repeated_spans(long, shared)
     _free(docs.sparkSession)
     ids = few(settle(spans.select("doc_id").distinct(), "ids"))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = long.join(ids, "doc_id", "left_semi").join(by_doc, "doc_id").select("doc_id", "t", "spans")
-    cut = cut.mapInArrow(tidy(_cut), "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    cut = cut if with_text else cut.drop("kept")
-    gone = copies.select("doc_id", F.lit(True).alias("copy"))
-    base = (light if not with_text else light.join(source.withColumnRenamed("t", "whole"), "doc_id", "left")).join(gone, "doc_id", "left").join(cut, "doc_id", "left")
+    cut = long.join(ids, "doc_id", "left_semi").join(by_doc, "doc_id").select("doc_id", "part", "t", "spans")
+    cut = cut.mapInArrow(tidy(_cut), "doc_id bigint, part int, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = (cut if with_text else cut.drop("kept")).dropDuplicates(["doc_id", "part"])
+    base = light if not with_text else source.select("doc_id", F.length("t").cast("bigint").alias("n_bytes"), F.sha2("t", 256).alias("sha"), "t")
+    base = parted(base).join(copies.withColumn("copy", F.lit(True)), ["doc_id", "sha"], "left").join(cut, ["doc_id", "part"], "left")
     whole = F.coalesce("copy", F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("bigint")
-    out = base.select(
+    return base.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(whole, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *([F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "whole")).alias("kept")] if with_text else []),
-    )
-    return out
+        *([F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "t")).alias("kept")] if with_text else []),
+    )
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

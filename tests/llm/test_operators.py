@@ -200,10 +200,10 @@ def brute_cut(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(50_000, 1 << 21), (3, 1 << 21), (50_000, 90)])
-def test_suffix_dedup(spark, monkeypatch, hot, piece):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+@pytest.mark.parametrize(("hot", "piece", "partitions"), [(50_000, 1 << 21, 8192), (3, 1 << 21, 2), (50_000, 90, 8192)])
+def test_suffix_dedup(spark, monkeypatch, hot, piece, partitions):
+    for name, value in {"HOT": hot, "PIECE": piece, "MOST_PARTITIONS": partitions, "TEXT_PER_BUCKET": 2000, "WINDOWS_PER_BUCKET": 20_000}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(hot + piece)
     base = ["".join(rng.choice("ab é") for _ in range(250)) for _ in range(6)]
     rows = []
@@ -213,7 +213,39 @@ def test_suffix_dedup(spark, monkeypatch, hot, piece):
     got = suffix_dedup.remove_repeats(table(spark, [(i, t, "s") for i, t in rows], extra=True).repartition(3), with_text=True).toPandas()
     want = brute_cut([(i, t.encode()) for i, t in rows])
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()} == want
-    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.itertuples())
+    assert len(got) == 80 and all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.itertuples())
+
+
+@pytest.mark.parametrize(("piece", "hot"), [(1 << 21, False), (120, False), (1 << 21, True), (120, True)])
+def test_suffix_dedup_decides_by_sorting(monkeypatch, piece, hot):
+    """The steps in this process: with the sort all repeats are found, without its groups none."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
+    texts = [shared[i * 10 : 300 + i * 10] + f" tail {i}".encode() for i in range(10)]
+
+    def found():
+        spans = {}
+        sent = []
+        for lo in (0, 5):
+            own = texts[lo : lo + 5]
+            hashes = [np.unique(np.concatenate([suffix_dedup._hash_of(suffix_dedup._windows(f, s)[0]) for f, _, s, _ in suffix_dedup._pieces(pa.array([t]))])) for t in own]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(lo, lo + 5)), pa.array([0] * 5), pa.array(own), pa.array([h.tolist() for h in hashes]), pa.array([h.tolist() if hot else [] for h in hashes], pa.list_(pa.int64()))], names=list("abcde"))
+            sent += list(suffix_dedup._contexts(3)(iter([batch])))
+        for _ in range(2 if hot else 1):
+            rows = pa.Table.from_batches(sent).sort_by("bucket").to_batches() if sent else []
+            sent = []
+            for b in suffix_dedup._repeats(3)(iter(rows)):
+                for r in b.to_pylist():
+                    if r["block"] is None:
+                        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+                    else:
+                        sent.append(pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["kind"]], pa.int32()), pa.array([r["block"]], pa.binary())], names=["bucket", "kind", "block"]))
+        return {d: len(set().union(*(range(*x) for x in own))) for d, own in spans.items()}
+
+    assert found() == {d: n for d, (_, n, *_) in brute_cut(list(enumerate(texts))).items() if n}
+    monkeypatch.setattr(suffix_dedup, "sort_suffixes", lambda data, starts: (np.arange(len(starts)), np.arange(len(starts))))
+    assert found() == {}
 
 
 def test_suffix_dedup_of_odd_rows(spark):
@@ -224,6 +256,14 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert {(r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(table(spark, twice)).collect()} == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 50, 1), (None, 0, 0)}
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    a, b = "".join(map(str, range(60))), "".join(chr(97 + k * k % 26) for k in range(80))
+    rows = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, "x" + a, "s"), (2, b + "y" + a[:50], "s"), (2, "x" + a, "s"), (2, "z" * 70, "s")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept) for r in suffix_dedup.remove_repeats(table(spark, rows), with_text=True).collect())
+    want = [(1, len(a), 0, a), (1, len(b), 0, b), (1, len(b), 0, b), (2, len(a) + 1, len(a), "x"), (2, len(a) + 1, len(a), "x"), (2, len(b) + 51, len(b) + 50, "y"), (2, 70, 0, "z" * 70)]
+    assert got == sorted((i, n, k, t.encode()) for i, n, k, t in want)
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(97, 99, 3000), np.tile(rng.integers(97, 123, 70), 9)]).astype(np.uint8)

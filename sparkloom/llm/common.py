@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -84,6 +85,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def listed(spark: SparkSession, rows: list[tuple], columns: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Rows that the driver has, as a relation of one literal."""
+    kind = ", ".join(f"`{c}`: {k}" for c, k in zip(columns, kinds, strict=True))
+    packed = json.dumps([dict(zip(columns, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(packed), f"array<struct<{kind}>>")))
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): component is the least node that edges (a, b) join to node; only nodes of edges occur.
 

@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import MOST_BROADCAST, listed, table
 
-#: The lookup table is broadcast; this bounds its rows.
-MOST_SLOTS = 1_000_003
+#: Slots in a row of the lookup table as it is sent to Spark.
+SLOTS_A_ROW = 4096
 SHARDS = 32
 SLOTS = 4099
 
@@ -26,9 +26,11 @@ def _number(text: str) -> int:
 
 
 def fill(shards: Sequence[str], size: int) -> list[int]:
-    """The shard number of each slot. ValueError unless size is a prime of at least len(shards) and at most MOST_SLOTS."""
-    if not shards or size > MOST_SLOTS or size < max(3, len(shards)) or any(size % k == 0 for k in range(2, int(size**0.5) + 1)):
-        raise ValueError("the table needs a prime number of slots, no fewer than shards and no more than MOST_SLOTS")
+    """The shard number of each slot. ValueError unless size is a prime of at least len(shards), and no shard twice."""
+    if not shards or size < max(3, len(shards)) or any(size % k == 0 for k in range(2, int(size**0.5) + 1)):
+        raise ValueError("the table needs a prime number of slots, no fewer than shards")
+    if len(set(shards)) < len(shards):
+        raise ValueError("a shard is named twice")
     slots = [-1] * size
     at = [_number(f"{s}:offset") % size for s in shards]
     skip = [_number(f"{s}:skip") % (size - 1) + 1 for s in shards]
@@ -53,14 +55,19 @@ def shard_names(n: int) -> list[str]:
 def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], size: int, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """df with the columns slot (long) and shard (name). Null keys count as empty text; equal keys always share a shard.
 
-    An empty table gives an empty result. Columns of df with the new ones' names are replaced.
+    An empty table gives an empty result. Columns of df with the new ones' names are replaced. Names may hold any
+    character. A table of more than MOST_BROADCAST slots is joined without a broadcast.
     """
-    names = ",".join(shards[k] for k in fill(shards, size))
-    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(names), ",")).alias("_at", shard))
-    lookup = lookup.select(F.col("_at").cast("bigint").alias(slot), shard)
+    spark = df.sparkSession
+    names = listed(spark, list(enumerate(shards)), ["n", shard], ["int", "string"])
+    filled = fill(shards, size)
+    parts = [(lo, filled[lo : lo + SLOTS_A_ROW]) for lo in range(0, size, SLOTS_A_ROW)]
+    rows = listed(spark, parts, ["first", "part"], ["bigint", "array<int>"]).select("first", F.posexplode("part").alias("k", "n"))
+    lookup = rows.join(F.broadcast(names), "n").select((F.col("first") + F.col("k")).alias(slot), shard)
+    lookup = F.broadcast(lookup) if size <= MOST_BROADCAST else lookup
     rest = [F.col(f"`{c}`") for c in df.columns if c not in (slot, shard)]
     out = df.select(*rest, slot_of([F.col(f"`{k}`") for k in keys], size).alias(slot))
-    return out.join(F.broadcast(lookup), slot, "left").select(*rest, slot, shard)  # at most MOST_SLOTS rows
+    return out.join(lookup, slot, "left").select(*rest, slot, shard)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

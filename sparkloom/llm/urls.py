@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import few, settle, table
+from sparkloom.llm.common import few, listed, settle, table
 
 #: (verdict, host, path); fixed by the contract of op10.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -66,9 +66,9 @@ def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
             fits = under(F.col("host"), name) & F.col("path").startswith(start)
             text, said = F.when(fits, F.lit(name + start)).otherwise(text), F.when(fits, F.lit(verdict)).otherwise(said)
         return pages.withColumns({"rule": text, "said": said})
-    listed = pages.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(ordered)], "nth long, said string, name string, start string")
+    wanted = listed(pages.sparkSession, [(k, *r) for k, r in enumerate(ordered)], ["nth", "said", "name", "start"], ["bigint", "string", "string", "string"])
     asked = pages.select("host", "path").distinct().withColumn("name", F.explode(suffixes(F.col("host"))))
-    hits = asked.join(few(listed), "name").where("startswith(path, start)").groupBy("host", "path").agg(F.max(F.struct("nth", F.concat("name", "start").alias("rule"), "said")).alias("hit"))
+    hits = asked.join(few(wanted), "name").where("startswith(path, start)").groupBy("host", "path").agg(F.max(F.struct("nth", F.concat("name", "start").alias("rule"), "said")).alias("hit"))
     return pages.join(hits, ["host", "path"], "left").select(*pages.columns, "hit.rule", "hit.said")
 
 

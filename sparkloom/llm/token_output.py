@@ -5,8 +5,8 @@ frame of compressed size, content size and checksum per frame). A data frame hol
 token counts and then all their token ids, two bytes each where the vocabulary allows it. A reader finds a document's
 frame in the index, decompresses that frame alone and checks it by the seek table's checksum (low half of XXH64).
 
-Documents are range-partitioned by id, a file per partition under a name of its own, so a repeated task leaves only an
-orphan that no manifest names.
+Documents are range-partitioned by id, or by an order given (of training, say), a file per partition under a name of its
+own, so a repeated task leaves only an orphan that no manifest names. A frame's index entry has its least and greatest id.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import fresh_path, settle, table, tidy
@@ -40,8 +40,11 @@ NO_ID = -(1 << 63)
 #: Bytes of token ids in a frame, about; a longer document has a frame of its own.
 FRAME_BYTES = 1 << 18
 LEVEL = 1
-#: Space-separated pieces whose ids a worker remembers; then it forgets them all.
-MOST_KNOWN = 600_000
+#: Bytes of text in a file at most, about.
+FILE_TEXT = 1 << 28
+#: Space-separated pieces, and characters of them, that a worker remembers the ids of; then it forgets them all. A text with a
+#: longer piece goes to the library whole.
+MOST_KNOWN, MOST_CHARS, LONGEST_PIECE = 600_000, 1 << 24, 200
 NEAR = 8_000
 #: Stands before a text's first piece; no text holds a lone surrogate.
 _START = "\ud800"
@@ -90,7 +93,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.begin, self.size, self.risky = (np.zeros(1 << 14, dtype=t) for t in (np.int64, np.int64, bool))
-        self.used = 0
+        self.used = self.chars = 0
 
     def _learn(self, new: list[str]) -> None:
         """Numbers the pieces in an order of its own."""
@@ -119,6 +122,7 @@ class Encoder:
         self.begin[first:last], self.size[first:last] = self.used + np.cumsum(n) - n, n
         self.risky[first + len(plain) : last] = [p != "\n" and (p in ("", " ") or p[-1].isspace() or (p[0].isspace() and p[0] != " ")) for p in other]
         self.used += more
+        self.chars += sum(map(len, pieces))
         self.known.update(zip(pieces, range(first, last), strict=True))
 
     def _places(self, pieces: list[str]) -> np.ndarray:
@@ -141,13 +145,15 @@ class Encoder:
         if "\x1f" in text or any(a in text for a in self.added):
             return [""]
         pieces = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+        if max(map(len, pieces)) > LONGEST_PIECE:
+            return [""]
         pieces[0] = _START + pieces[0]
         return pieces
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if not self.splits:
             return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
-        if len(self.known) > MOST_KNOWN:
+        if len(self.known) > MOST_KNOWN or self.chars > MOST_CHARS:
             self.forget()
         split = list(map(self._split, texts))
         at = self._places(list(itertools.chain.from_iterable(split)))
@@ -205,7 +211,7 @@ class Writer:
         head = struct.pack("<I", len(self.ids)) + np.array(self.ids, dtype="<i8").tobytes() + np.array([len(p) for p in self.parts], dtype="<u8").tobytes()
         content = head + np.concatenate(self.parts).astype(self.kind).tobytes()
         frame = self.zstd.compress(content)
-        self.index.append((self.ids[0], self.ids[-1], self.tokens, len(self.ids)))
+        self.index.append((min(self.ids), max(self.ids), self.tokens, len(self.ids)))
         self.seek.append((len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
         self.tokens += sum(map(len, self.parts))
         self.docs += len(self.ids)
@@ -282,14 +288,18 @@ def open_reader(uri: str) -> Reader:
     return Reader(Source())
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the files under folder and returns their manifest (part, path, docs, tokens), settled.
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, id: str = "doc_id", text: str = "text", order: Sequence[Column] = ()) -> DataFrame:
+    """Writes the files under folder and returns their manifest (part, path, docs, tokens), settled. Documents stand by
+    `order`, if it is given, then by id.
 
     Null texts are empty: the end id alone. Rows without an id come first and keep a null id. Rows with one id stand by a
     hash of their texts; an empty table writes no file. Other columns are ignored."""
     tokenizer = tokenizer or default_tokenizer()
-    rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("bigint"), F.lit(NO_ID)).alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    rows = rows.withColumn("o", F.xxhash64("t")).repartitionByRange("i", "o").sortWithinPartitions("i", "o")
+    rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("bigint"), F.lit(NO_ID)).alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), *[c.alias(f"k{n}") for n, c in enumerate(order)])
+    by = [*[f"k{n}" for n in range(len(order))], "i", "o"]
+    files = -(-(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0) // FILE_TEXT)
+    more = [files] if files > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    rows = rows.withColumn("o", F.xxhash64("t")).repartitionByRange(*more, *by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, writer = encoder(tokenizer), None, None
@@ -341,8 +351,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return files.mapInArrow(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return read_tokens(write_tokens(docs, fresh_path(spark, "tokens")))
+def token_digest(spark: SparkSession, docs: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    return read_tokens(write_tokens(docs, fresh_path(spark, "tokens"), order=order))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

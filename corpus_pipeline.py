@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import settle, table
 from sparkloom.llm.decontaminate import without_leaks
-from sparkloom.llm.mixing import REPEATS, mix
+from sparkloom.llm.mixing import REPEATS, mix, training_order
 from sparkloom.llm.near_duplicates import one_of_each
 from sparkloom.llm.quality_rules import clean_documents
 from sparkloom.llm.token_output import token_digest
@@ -38,8 +38,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, read back from the token files."""
-    return token_digest(spark, docs)
+    """doc_id, start, n_tokens, ids_crc32, read back from the token files, which hold the documents in the order in which
+    mixing drew them: epoch by epoch, so that no copy lies beside its original."""
+    return token_digest(spark, *training_order(docs))
 
 
 STAGES = [

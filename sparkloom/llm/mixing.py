@@ -3,24 +3,26 @@
 A source's weight is its share of all tokens (words) to the power alpha, normalised; alpha between 0 (all equal) and
 1 (as they come) is bisected until the weights' entropy or the most repetitions of a source meet the target. A source
 whose budget is e times its tokens and a rest goes through e whole epochs and the start of one more: its documents, in
-the order of a seeded hash, up to the rest. An epoch runs over blocks of documents in an order drawn anew per epoch.
+the order of a seeded hash, up to the rest. An epoch runs over blocks of documents in an order drawn anew per epoch, and
+through each block in an order drawn anew.
 
 The order within a source is cut at one key, found by sums over blocks and then within one block, so no task holds a
-source, and copies need only a broadcast of one row per source.
+source. Weights depend on sources' token counts alone, so the driver sees how many sources have each count (no more
+different counts than the root of twice all tokens); sources themselves stay a table of any size.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import settle, table, words
+from sparkloom.llm.common import few, settle, table, words
 
-#: Sources are listed on the driver and broadcast; more are an error.
-MOST_SOURCES = 10_000
 #: Documents in a block, about.
 BLOCK = 2048
 STEPS = 60
@@ -36,39 +38,53 @@ class Share:
     budget: int
 
 
-def weights_at(tokens: list[int], alpha: float) -> list[float]:
-    total = float(sum(tokens))
-    raised = [(t / total) ** alpha if t else 0.0 for t in tokens]
-    whole = math.fsum(raised)
-    return [x / whole for x in raised]
+@dataclass(frozen=True)
+class Temperature:
+    """weight(tokens) of a source, and the tokens to draw altogether."""
 
+    alpha: float
+    total: int
+    whole: float
+    size: float
 
-def _repeats(tokens: list[int], weights: list[float], budget: int | None) -> float:
-    size = float(budget) if budget is not None else max(t / w for t, w in zip(tokens, weights, strict=True) if t)
-    return max(w * size / t for t, w in zip(tokens, weights, strict=True) if t)
+    def weight(self, tokens: int) -> float:
+        return (tokens / self.total) ** self.alpha / self.whole if tokens else 0.0
 
 
-def plan(sources: dict[str, int], *, entropy: float | None = None, repeats: float | None = None, budget: int | None = None) -> tuple[float, list[Share]]:
-    """(alpha, shares by source name). Exactly one of entropy (bits) and repeats is given.
+def temperature(counts: Mapping[int, int], *, entropy: float | None = None, repeats: float | None = None, budget: int | None = None) -> Temperature:
+    """counts: how many sources have so many tokens. Exactly one of entropy (bits) and repeats is given.
 
-    budget None: the least budget in which each document occurs once or more. A target that no alpha in 0..1 meets
-    gives the nearest end. Sources without tokens have weight 0.
-    """
+    budget None: the least budget in which each document occurs once or more. A target that no alpha in 0..1 meets gives the
+    nearest end. Sources without tokens have weight 0."""
     if (entropy is None) == (repeats is None):
         raise ValueError("give entropy or repeats")
-    names, tokens = sorted(sources), [sources[k] for k in sorted(sources)]
-    if not sum(tokens):
-        return 1.0, [Share(k, 0, 0.0, 0) for k in names]
-    low, high = 0.0, 1.0  # as alpha rises, entropy and repetitions fall
+    have = sorted((t, n) for t, n in counts.items() if t)
+    total = sum(t * n for t, n in have)
+    if not total:
+        return Temperature(1.0, 1, 1.0, 0.0)
+
+    def at(alpha: float) -> Temperature:
+        whole = math.fsum(n * (t / total) ** alpha for t, n in have)
+        raw = Temperature(alpha, total, whole, 0.0)
+        size = float(budget) if budget is not None else max(t / raw.weight(t) for t, _ in have)
+        return Temperature(alpha, total, whole, size)
+
+    def over(x: Temperature) -> bool:  # as alpha rises, entropy and repetitions fall
+        if entropy is not None:
+            return -math.fsum(n * x.weight(t) * math.log2(x.weight(t)) for t, n in have) > entropy
+        return max(x.weight(t) * x.size / t for t, _ in have) > repeats
+
+    low, high = 0.0, 1.0
     for _ in range(STEPS):
         mid = (low + high) / 2
-        w = weights_at(tokens, mid)
-        over = -math.fsum(x * math.log2(x) for x in w if x) > entropy if entropy is not None else _repeats(tokens, w, budget) > repeats
-        low, high = (mid, high) if over else (low, mid)
-    alpha = round(high, 9)
-    w = weights_at(tokens, alpha)
-    size = float(budget) if budget is not None else max(t / x for t, x in zip(tokens, w, strict=True) if t)
-    return alpha, [Share(k, t, x, round(x * size)) for k, t, x in zip(names, tokens, w, strict=True)]
+        low, high = (mid, high) if over(at(mid)) else (low, mid)
+    return at(round(high, 9))
+
+
+def plan(sources: Mapping[str, int], **target) -> tuple[float, list[Share]]:
+    """(alpha, shares by source name), with temperature()'s arguments."""
+    t = temperature(Counter(sources.values()), **target)
+    return t.alpha, [Share(k, n, t.weight(n), round(t.weight(n) * t.size)) for k, n in sorted(sources.items())]
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -80,12 +96,6 @@ def _block(key: Column, blocks: Column) -> Column:
     return F.shiftright(F.shiftright(key, 30) * blocks, 30)
 
 
-def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """A few rows as a relation of literals."""
-    lit = lambda x: "cast(null as bigint)" if x is None else "unhex('" + x.encode().hex() + "')" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else f"{x}L"
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)} AS t({columns})")
-
-
 def copies(df: DataFrame, **target) -> DataFrame:
     """df with _tokens (words of the text), _key (order in its source), _block and _copies (0 or more); columns of df with
     these names are replaced. Arguments as for packed_copies."""
@@ -94,58 +104,79 @@ def copies(df: DataFrame, **target) -> DataFrame:
     return out.select(*[F.col("_doc").getField(c).alias(c) for c in df.columns if c not in new], *new)
 
 
-def packed_copies(df: DataFrame, source: str = "source", id: str = "doc_id", text: str = "text", *, entropy: float | None = None, repeats: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """(_doc: df's row as a struct, _tokens, _key, _block, _copies).
+def _named(source: Column) -> Column:
+    return F.coalesce(source.cast("string"), F.lit(""))
+
+
+def packed_copies(df: DataFrame, source: str = "source", id: str = "doc_id", text: str = "text", *, seed: int = SEED, **target) -> DataFrame:
+    """(_doc: df's row as a struct, _tokens, _key, _block, _copies). target: entropy, repeats and budget of temperature().
 
-    Null sources count as '', null texts as without words. Rows with the same id stand or fall together. A source
-    without tokens is used once. An empty table gives an empty result.
+    Null sources count as '', null texts as without words. Ids are of any type; rows with the same id stand or fall
+    together. A source without tokens is used once. An empty table gives an empty result.
     """
-    spark = df.sparkSession
-    named = F.encode(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")), "UTF-8")
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), named.alias("_source"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("_tokens"), order_key(F.col(f"`{id}`"), seed).alias("_key"), F.col(f"`{id}`").alias("_id"))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), _named(F.col(f"`{source}`")).alias("_source"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("_tokens"), order_key(F.col(f"`{id}`"), seed).alias("_key"), F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).alias("_id"))
     light = settle(keyed.select("_source", "_tokens", "_key", "_id"), "mix-tokens")
-    totals = light.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not totals:
-        return keyed.select("_doc", "_tokens", "_key", F.lit(0).cast("bigint").alias("_block"), F.lit(1).cast("bigint").alias("_copies"))
-    docs = {bytes(r["_source"]).decode(): r["docs"] for r in totals}
-    _, shares = plan({bytes(r["_source"]).decode(): r["tokens"] for r in totals}, entropy=entropy, repeats=repeats, budget=budget)
-    rows = [(s.source, s.budget // s.tokens if s.tokens else 1, s.budget % s.tokens if s.tokens else 0, -(-docs[s.source] // BLOCK)) for s in shares]
-    targets = F.broadcast(_values(spark, rows, "_source, epochs, rest, blocks"))  # at most MOST_SOURCES rows
-    placed = light.join(targets, "_source").withColumn("b", _block(F.col("_key"), F.col("blocks")))
+    totals = settle(light.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
+    t = temperature({r["tokens"]: r["n"] for r in totals.groupBy("tokens").agg(F.count("*").alias("n")).collect()}, **target)
+    budget = F.round(F.pow(F.col("tokens") / F.lit(float(t.total)), F.lit(t.alpha)) / F.lit(t.whole) * F.lit(t.size)).cast("bigint")
+    budgets = totals.withColumn("budget", F.when(F.col("tokens") > 0, budget))
+    whole = lambda e, otherwise: F.coalesce(F.expr(e), F.lit(otherwise).cast("bigint"))
+    targets = settle(budgets.select("_source", whole("budget div nullif(tokens, 0)", 1).alias("epochs"), whole("budget % nullif(tokens, 0)", 0).alias("rest"), F.ceil(F.col("docs") / BLOCK).alias("blocks")), "mix-targets")
+    placed = light.join(few(targets), "_source").withColumn("b", _block(F.col("_key"), F.col("blocks")))
     sums = placed.groupBy("_source", "b", "rest").agg(F.sum("_tokens").alias("t"))
-    before = Window.partitionBy("_source").orderBy("b")
-    sums = sums.withColumn("upto", F.sum("t").over(before))
+    sums = sums.withColumn("upto", F.sum("t").over(Window.partitionBy("_source").orderBy("b")))  # a row for each block
     split = sums.where("rest > 0 and upto > rest and upto - t <= rest").select("_source", "b", (F.col("rest") - (F.col("upto") - F.col("t"))).alias("left"))
-    inside = placed.join(split, ["_source", "b"]).withColumn("upto", F.sum("_tokens").over(Window.partitionBy("_source", "b").orderBy("_key", "_id")))
-    # the last key that the rest covers, or else the first key of the block that it doesn't
-    cut = inside.groupBy("_source").agg(F.max(F.when(F.col("upto") <= F.col("left"), F.struct("_key", "_id"))).alias("last"), F.min("b").alias("b"))
-    found = {bytes(r["_source"]).decode(): (r["b"], *(r["last"] or (None, None))) for r in cut.collect()}
-    if any(isinstance(i, str) for _, _, i in found.values()):
-        raise ValueError("ids must be whole numbers")
-    limits = [(n, e, k, *found.get(n, (0, None, None))) for n, e, _, k in rows]
-    limits = F.broadcast(_values(spark, limits, "_source, epochs, blocks, cut_block, cut_key, cut_id"))
+    inside = placed.join(few(settle(split, "mix-blocks")), ["_source", "b"]).withColumn("upto", F.sum("_tokens").over(Window.partitionBy("_source", "b").orderBy("_key", "_id")))
+    # the last key that the rest covers, in the block where it ends
+    cut = inside.groupBy("_source").agg(F.max(F.when(F.col("upto") <= F.col("left"), F.struct("_key", "_id"))).alias("last"), F.min("b").alias("cut_block"))
+    limits = settle(targets.join(cut, "_source", "left").select("_source", "epochs", "blocks", "cut_block", F.col("last._key").alias("cut_key"), F.col("last._id").alias("cut_id")), "mix-limits")
     block = _block(F.col("_key"), F.col("blocks"))
-    more = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & F.coalesce((F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.col("_id") <= F.col("cut_id"))), F.lit(False)))
-    return keyed.join(limits, "_source").select("_doc", "_tokens", "_key", block.alias("_block"), (F.col("epochs") + more.cast("bigint")).alias("_copies"))
+    upto = (F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.col("_id") <= F.col("cut_id")))
+    more = F.coalesce((block < F.col("cut_block")) | ((block == F.col("cut_block")) & F.coalesce(upto, F.lit(False))), F.lit(False))
+    return keyed.join(few(limits), "_source").select("_doc", "_tokens", "_key", block.alias("_block"), (F.col("epochs") + more.cast("bigint")).alias("_copies"))
 
 
 def mix(df: DataFrame, **target) -> DataFrame:
-    """df's rows, each as often as its source's weight asks; columns as in df."""
+    """df's rows, each as often as its source's weight asks; columns as in df. training_order() gives their order."""
     epochs = F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))
     out = packed_copies(df, **target).where("_copies > 0").select("_doc", F.explode(epochs).alias("_epoch"))
     return out.select(*[F.col("_doc").getField(c).alias(c) for c in df.columns])
 
 
+def drawn(source: Column, id: Column, epoch: Column, block: Column, seed: int) -> tuple[Column, Column]:
+    """(block_order, doc_order): a block's place among its source's in an epoch, and a document's in its block."""
+    number = lambda x, n: F.conv(F.substring(F.md5(x), 1, n), 16, 10).cast("bigint")
+    blocks = F.concat_ws("/", F.lit(str(seed)), _named(source), epoch.cast("string"), block.cast("string"))
+    return number(blocks, 8), number(F.concat_ws("/", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id.cast("string"), F.lit(""))), 15)
+
+
+def training_order(df: DataFrame, source: str = "source", id: str = "doc_id", text: str = "text", seed: int = SEED) -> tuple[DataFrame, list[Column]]:
+    """(df with further columns, columns to sort it by) for rows that mix() gave: the n-th row of an id and text is its n-th
+    epoch. Epochs follow one another; in one, blocks of all sources are interleaved in the order drawn, and each block is
+    run through in the order drawn for it. Rows without an id are all in the first epoch."""
+    name = lambda x: max([*df.columns, x], key=len) + "_"
+    epoch, block, first, second, nth, blocks = (name(x) + str(k) for k, x in enumerate(("epoch", "block", "first", "second", "nth", "blocks")))
+    known = F.col(f"`{id}`").isNotNull()
+    alone = F.when(known, F.lit(0).cast("bigint")).otherwise(F.monotonically_increasing_id())
+    w = Window.partitionBy(F.col(f"`{id}`"), F.xxhash64(F.col(f"`{text}`")), F.col(nth)).orderBy(F.lit(0))
+    out = df.withColumn(nth, alone).withColumn(epoch, F.when(known, F.row_number().over(w) - 1).otherwise(0).cast("bigint"))
+    ids = df.select(_named(F.col(f"`{source}`")).alias(blocks + "of"), F.col(f"`{id}`").alias("i")).distinct()
+    sizes = settle(ids.groupBy(blocks + "of").agg(F.ceil(F.count("*") / BLOCK).alias(blocks)), "mix-sizes")
+    out = out.join(few(sizes), _named(F.col(f"`{source}`")) == F.col(blocks + "of"), "left")
+    out = out.withColumn(block, _block(order_key(F.col(f"`{id}`"), seed), F.greatest(F.col(blocks), F.lit(1))))
+    a, b = drawn(F.col(f"`{source}`"), F.col(f"`{id}`"), F.col(epoch), F.col(block), seed)
+    out = out.withColumn(first, a).withColumn(second, b).drop(nth, blocks, blocks + "of", block)
+    return out, [F.col(epoch), F.col(first), F.col(second)]
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each copy of each document: doc_id, source, n_tokens, epoch, block, block_order, doc_order.
 
-    Training order within a source is (epoch, block_order, doc_order)."""
+    Training order is (epoch, block_order, doc_order)."""
     docs = copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repeats=REPEATS).where("_copies > 0")
-    docs = docs.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias("epoch"), F.col("_block").alias("block"), F.col("_key").alias("doc_order"))
-    drawn = F.md5(F.concat_ws("/", F.lit(str(SEED)), F.coalesce("source", F.lit("")), F.col("epoch").cast("string"), F.col("block").cast("string")))
-    return docs.withColumn("block_order", F.conv(F.substring(drawn, 1, 8), 16, 10).cast("bigint"))
+    docs = docs.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias("epoch"), F.col("_block").alias("block"))
+    block_order, doc_order = drawn(F.col("source"), F.col("doc_id"), F.col("epoch"), F.col("block"), SEED)
+    return docs.withColumns({"block_order": block_order, "doc_order": doc_order})
 
 
 def oracle(source: str = "documents", columns: str = "doc_id, source, n_tokens, epoch, block, doc_order, block_order") -> str:
@@ -154,7 +185,7 @@ def oracle(source: str = "documents", columns: str = "doc_id, source, n_tokens,
     return f"""
 WITH RECURSIVE keyed AS (
   SELECT d.*, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens,
-    {hexed(f"'{SEED}/' || coalesce(doc_id::VARCHAR, '')", 15)} AS doc_order, coalesce(d.source, '') AS s FROM {source} d
+    {hexed(f"'{SEED}/' || coalesce(doc_id::VARCHAR, '')", 15)} AS place, coalesce(d.source, '') AS s FROM {source} d
 ), totals AS (SELECT s, sum(n_tokens)::BIGINT AS t, count(*) AS docs, sum(sum(n_tokens)) OVER () AS whole FROM keyed GROUP BY s
 ), steps AS (
   SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
@@ -166,11 +197,11 @@ WITH RECURSIVE keyed AS (
 ), budgets AS (SELECT *, round(w * max(CASE WHEN t > 0 THEN t / w END) OVER ())::BIGINT AS budget FROM weighed
 ), targets AS (SELECT s, CASE WHEN t > 0 THEN budget // t ELSE 1 END AS epochs, CASE WHEN t > 0 THEN budget % t ELSE 0 END AS rest, CAST(ceil(docs / {BLOCK}.0) AS BIGINT) AS blocks FROM budgets
 ), placed AS (
-  SELECT k.*, g.epochs, g.rest, ((k.doc_order >> 30) * g.blocks) >> 30 AS block,
-    sum(k.n_tokens) OVER (PARTITION BY k.s ORDER BY k.doc_order, k.doc_id RANGE UNBOUNDED PRECEDING) AS upto
+  SELECT k.*, g.epochs, g.rest, ((k.place >> 30) * g.blocks) >> 30 AS block,
+    sum(k.n_tokens) OVER (PARTITION BY k.s ORDER BY k.place, k.doc_id::VARCHAR RANGE UNBOUNDED PRECEDING) AS upto
   FROM keyed k JOIN targets g USING (s)
 ), copied AS (SELECT *, unnest(range(0, epochs + (CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)))::BIGINT AS epoch FROM placed
-), mixed AS (SELECT *, {hexed(f"'{SEED}/' || s || '/' || epoch::VARCHAR || '/' || block::VARCHAR", 8)} AS block_order FROM copied)
+), mixed AS (SELECT *, {hexed(f"'{SEED}/' || s || '/' || epoch::VARCHAR || '/' || block::VARCHAR", 8)} AS block_order, {hexed(f"'{SEED}/' || epoch::VARCHAR || '/' || coalesce(doc_id::VARCHAR, '')", 15)} AS doc_order FROM copied)
 SELECT {columns} FROM mixed
 """
 

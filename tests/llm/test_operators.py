@@ -346,6 +346,23 @@ def test_mixing_of_odd_rows(spark):
     assert got.columns == [c.split()[0] for c in DOCS.split(", ")] + [*EXTRA, "_copies"] and {r._copies for r in got.collect()} == {"own"} and got.select("doc_id").distinct().count() == 9
     assert mixing.mix(table(spark, []), repeats=2.0).count() == 0
     assert mixing.mix(table(spark, [(1, "", "a"), (2, None, None)]), repeats=2.0).count() == 2
+    named = spark.createDataFrame([(f"id{k}", "w " * (k + 1), "ab"[k % 4 == 0]) for k in range(40)], "doc_id string, text string, source string")
+    assert mixing.mix(named, repeats=2.0, budget=600).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_training_order_is_the_mixed_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    docs = table(spark, [(k, "w " * (k % 7 + 1), "ab"[k % 5 == 0]) for k in range(60)])
+    made = mixing.copies(docs, repeats=3.0).where("_copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+    a, b = mixing.drawn(F.col("source"), F.col("doc_id"), F.col("epoch"), F.col("_block"), mixing.SEED)
+    want = [r.doc_id for r in made.sort("epoch", a, b).collect()]
+    rows, order = mixing.training_order(mixing.mix(docs, repeats=3.0))
+    got = [r.doc_id for r in rows.sort(*order).collect()]
+    assert got == want and len(got) > 60 and all(x != y for x, y in zip(got, got[1:], strict=False))
+    first, second = got[:60], [x for x in got[60:]]
+    assert sorted(first) == list(range(60)) and [x for x in first if x in set(second)] != second  # drawn anew
+    odd, by = mixing.training_order(table(spark, ODD, extra=True))
+    assert odd.sort(*by).count() == len(ODD)
 
 
 # --- 6, 7 -------------------------------------------------------------------------------------------------------
@@ -442,7 +459,7 @@ def test_sharding_is_even_and_stable(spark):
     assert max(counts.values()) - min(counts.values()) <= 1
     moved = sum(a != b for a, b in zip(full, fewer, strict=True) if a != 15)
     assert moved < 0.1 * 4099
-    for bad in ((["a"], 4), ([], 7), (["a"] * 9, 7), (["a"], 10**7 + 19)):
+    for bad in ((["a"], 4), ([], 7), (list("abcdefghi"), 7)):
         with pytest.raises(ValueError, match="slots"):
             sharding.fill(*bad)
 
@@ -451,6 +468,10 @@ def test_sharding_of_odd_rows(spark):
     got = sharding.assign_shards(table(spark, ODD, extra=True), ["doc_id", "source"], ["a", "b"], 11).collect()
     assert len(got) == len(ODD) and {r.shard for r in got} <= {"a", "b"} and len({r.slot for r in got if r.doc_id == 4}) == 1
     assert sharding.assign_shards(table(spark, []), ["doc_id"], ["a"], 3).count() == 0
+    names = ["eu,west", "us", "a\"b\\c", "é"]
+    assert {r.shard for r in sharding.assign_shards(spark.range(200), ["id"], names, 101).collect()} == set(names)
+    with pytest.raises(ValueError, match="twice"):
+        sharding.fill(["a", "a"], 11)
     clash = sharding.assign_shards(table(spark, ODD).withColumn("slot", F.lit(77)).withColumn("shard", F.lit(1)), ["doc_id", "slot"], ["a"], 3)
     assert {(r.shard, r.slot < 3) for r in clash.collect()} == {("a", True)}
 

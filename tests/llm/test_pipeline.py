@@ -68,5 +68,14 @@ def test_token_stage(staged):
     assert collections.Counter(zip(staged[4].doc_id, staged[4].n_tokens, staged[4].ids_crc32, strict=True)) == want
 
 
+def test_copies_lie_apart(staged, spark):
+    """The files hold the documents in training order."""
+    docs = spark.createDataFrame(staged[3])
+    rows, order = mixing.training_order(docs)
+    want = [r.doc_id for r in rows.sort(*order, "doc_id").collect()]
+    got = staged[4].sort_values("start").doc_id.tolist()
+    assert got == want and all(a != b for a, b in zip(got, got[1:], strict=False)) and len(set(got)) < len(got)
+
+
 def test_run_is_the_stages_in_turn(staged, spark, sf):
     compare.same(corpus_pipeline.run(spark, sf).toPandas(), staged[4])

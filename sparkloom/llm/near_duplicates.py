@@ -1,6 +1,6 @@
 """N-gram Jaccard join with Bayesian pruning (after the published BayesLSH).
 
-Documents with one set of word shingles form a class of copies, of which the least id stands for all. Representatives
+Documents with one set of word shingles are copies, for which one representative stands. Representatives
 meet in bands of their MinHash values (24 bands of 4: a pair of similarity 0.8 is missed with a chance of 3e-6). A
 bucket's members are worked on together: values are compared a few at a time, and a pair is dropped once the posterior
 chance that its similarity reaches the threshold is below TOLERANCE; the rest is decided exactly on the shingle sets.
@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import connected_components, few, settle, table, tidy, without_ids, words
@@ -32,9 +32,9 @@ VALUES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 #: A chunk's shingles and members, about.
-CHUNK_SHINGLES, CHUNK_MEMBERS = 1 << 19, 2048
-#: Pairs compared at once.
-STRIP = 1 << 17
+CHUNK_SHINGLES, CHUNK_MEMBERS = 1 << 18, 512
+#: Pairs compared at once, and shingles and pairs whose bit sets are intersected at once.
+STRIP, COLUMNS, PAIRS = 1 << 17, 1 << 12, 1 << 15
 
 
 def _hashers() -> tuple[np.ndarray, np.ndarray]:
@@ -89,15 +89,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             sizes.append(len(own))
             bands.append(minhash(own).view(np.int64) if len(own) else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "set_key", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "set_key", "size", "bands", "text_hash"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, set_key, words) of which the words' shingles have the key: rows of one id may have several texts."""
     for b in batches:
-        own = [shingles(h) for h in _texts(b.column(1))]
-        for lo in range(0, len(own), 512):
-            part = own[lo : lo + 512]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array([minhash(s).tobytes() for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())], names=["rep", "values", "shingles"])
+        own = [shingles(h) for h in _texts(b.column(2))]
+        meant = [k for k, (s, key) in enumerate(zip(own, b.column(1).to_pylist(), strict=True)) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key]
+        for lo in range(0, len(meant), 512):
+            part = meant[lo : lo + 512]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), pa.array([minhash(own[k]).tobytes() for k in part], pa.binary()), pa.array([own[k].tobytes() for k in part], pa.binary())], names=["rep", "values", "shingles"])
 
 
 def _candidates(values: np.ndarray, left: int, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,22 +130,28 @@ def _candidates(values: np.ndarray, left: int, band: int) -> tuple[np.ndarray, n
 
 
 def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs reach the similarity, exactly: by bit sets over the shingles that two members or more have."""
-    sizes = np.array([len(s) for s in sets])
-    whole, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(counts > 1) - 1
-    shared = counts[inverse] > 1
-    width = -(-int((counts > 1).sum()) // 64) * 8
-    bits = np.zeros((len(sets), width * 8), dtype=bool)
-    bits[np.repeat(np.arange(len(sets)), sizes)[shared], place[inverse[shared]]] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64) if width else np.zeros((len(sets), 0), dtype=np.uint64)
-    out = np.empty(len(i), dtype=bool)
-    step = max(1, (1 << 21) // max(1, packed.shape[1]))
-    for lo in range(0, len(i), step):
-        a, b = i[lo : lo + step], j[lo : lo + step]
-        both = np.bitwise_count(packed[a] & packed[b]).sum(axis=1, dtype=np.int64)
-        out[lo : lo + step] = (OVER + UNDER) * both >= OVER * (sizes[a] + sizes[b])
-    return out
+    """Which pairs reach the similarity, exactly: by bit sets over the shingles that two members or more have, COLUMNS of
+    them at a time, so that memory depends on neither the shingles' number nor the pairs'."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    sizes = np.array([len(sets[k]) for k in used])
+    _, inverse, counts = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(used)), sizes)[counts[inverse] > 1]
+    place = (np.cumsum(counts > 1) - 1)[inverse[counts[inverse] > 1]]
+    by = np.argsort(place, kind="stable")
+    owner, place = owner[by], place[by]
+    both = np.zeros(len(i), dtype=np.int64)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        lo, hi = np.searchsorted(place, [first, first + COLUMNS])
+        bits = np.zeros((len(used), COLUMNS), dtype=bool)
+        bits[owner[lo:hi], place[lo:hi] - first] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        some = packed.any(axis=1)
+        here = np.flatnonzero(some[i] & some[j])
+        for x in range(0, len(here), PAIRS):
+            k = here[x : x + PAIRS]
+            both[k] += np.bitwise_count(packed[i[k]] & packed[j[k]]).sum(axis=1, dtype=np.int64)
+    return (OVER + UNDER) * both >= OVER * (sizes[i] + sizes[j])
 
 
 def _unit(band: int, left: int, reps: np.ndarray, copies: np.ndarray, values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,34 +231,61 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """(doc_id, copy_of, class_id, n_links) of every row.
 
     copy_of: the least id with the same shingles. class_id: the least id that links join to this one. n_links: the other
-    documents of similarity THRESHOLD or more, copies included. A text without words (null or empty) and a row without
-    an id link to nothing. Ids are whole numbers; rows that share id and text are counted as copies of each other.
+    rows of similarity OVER / UNDER or more, copies included. A text without words (null or empty) and a row without an
+    id link to nothing. Ids are whole numbers. Each row counts for itself: rows of one id with one text are copies of each
+    other, rows of one id with different texts are linked as their texts are.
     """
+    return _classes(docs, id, text).select("doc_id", "copy_of", "class_id", "n_links")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _classes(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The columns of near_duplicates, with text_hash and class_key (the same in a class, null for rows without links)."""
     hashed = F.transform(words(F.col("t")), lambda w: F.xxhash64(w))
     source = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("t"))
-    sketch = source.select("doc_id", hashed.alias("h")).mapInArrow(tidy(_sketch), "doc_id bigint, set_key binary, size bigint, bands array<bigint>")
+    sketch = source.select("doc_id", hashed.alias("h"), _text_hash(F.col("t")).alias("text_hash")).mapInArrow(tidy(_sketch), "doc_id bigint, set_key binary, size bigint, bands array<bigint>, text_hash bigint")
     sketch = settle(sketch, "sketches")
-    reps = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    reps = settle(reps, "representatives")
+    # a set of shingles has a number, as rows of one id may have several sets
+    reps = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = settle(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     units = _units(reps)
-    need = few(settle(units.select(F.col("rep").alias("doc_id")).distinct(), "needed"))
-    sets = source.join(need, "doc_id", "left_semi").select("doc_id", hashed.alias("h")).dropDuplicates(["doc_id"]).mapInArrow(tidy(_sets), "rep bigint, values binary, shingles binary")
+    need = reps.join(few(settle(units.select("rep").distinct(), "needed")), "rep", "left_semi").select(F.col("least").alias("doc_id"), "set_key", "rep")
+    need = few(settle(need, "needed-texts"))
+    sets = source.join(need, "doc_id").select("rep", "set_key", hashed.alias("h")).mapInArrow(tidy(_sets), "rep bigint, values binary, shingles binary").dropDuplicates(["rep"])
     rows = units.join(reps.select("rep", "copies"), "rep").join(sets, "rep")
     rows = rows.repartition("unit").sortWithinPartitions("unit", "side", "rep").select("unit", "band", "side", "rep", "copies", "values", "shingles")
     links = settle(rows.mapInArrow(tidy(_work), "rep bigint, joined bigint, links bigint"), "links")
-    joined = connected_components(links.select(F.col("rep").alias("a"), F.col("joined").alias("b")))
+    joined = connected_components(links.select(F.col("rep").alias("a"), F.col("joined").alias("b"))).withColumnRenamed("node", "rep")
+    joined = settle(joined.join(reps.select("rep", "least"), "rep"), "joined")
+    joined = joined.join(joined.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("rep", "component", "class_id")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select("set_key", "rep", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    known = known.withColumn("_known", F.lit(True))
-    out = sketch.join(known, "set_key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return out.select("doc_id", own.alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", own)).alias("class_id"), F.when(F.col("doc_id").isNull() | F.col("_known").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
+    known = reps.select("set_key", "rep", "least", "copies").join(joined, "rep", "left").join(counts, "rep", "left").where("copies > 1 or links is not null")
+    known = known.select("set_key", F.col("least").alias("copy_of"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("component", "rep").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
+    # rows that link to nothing, among them those without words or id, are kept out of the join
+    known = few(settle(known, "linked"))
+    rows = sketch.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(known, "set_key", "left")
+    return rows.select("doc_id", "text_hash", "class_key", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the least id of each class; columns as they are, rows without an id stay."""
-    found = near_duplicates(docs, id, text)
-    return without_ids(docs, found.where("class_id <> doc_id").select("doc_id").distinct(), id)
+    """docs with one row of each class, that of the least id; columns as they are. Rows without an id, and texts without
+    words, stay; equal rows of one id and text stay once."""
+    found = settle(_classes(docs, id, text), "classes")
+    again = settle(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
+    if again.isEmpty():
+        return without_ids(docs, gone, id)
+    # rows of ids that occur more than once are told apart by their texts
+    own = F.coalesce(F.concat(F.lit("c"), F.col("class_key")), F.concat_ws("/", F.lit("d"), "doc_id", "text_hash"))
+    first = found.where("doc_id is not null").groupBy(own.alias("own")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    stays = settle(first.select("first.*").join(few(again), "doc_id", "left_semi"), "first-texts")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*columns).alias("_doc"), F.col(f"`{id}`").cast("bigint").alias("doc_id"), _text_hash(F.col(f"`{text}`")).alias("text_hash"))
+    odd = packed.join(few(stays), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("_doc.*")
+    return without_ids(docs, gone.union(again).distinct(), id).union(odd)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Items are indexed in segments of at most SEGMENT words; a document is cut into p
 sharing half with the next, so a segment that a document holds lies whole within one passage. A passage's BM25 score
 for a segment is divided by the segment's score for itself, so one threshold serves all.
 
-The search is block-max WAND with its tests made for many passages at once. Terms whose greatest impacts together stay
+The search is a batched form of block-max WAND: its bounds are tested for many passages at once, without pivots. Terms whose greatest impacts together stay
 below the threshold cannot make a hit and are set aside; the postings of the other terms name blocks of segments; a
 block's greatest impacts over all the passage's terms bound its segments, and only in blocks whose bound reaches the
 threshold are segments scored. Nothing above the threshold is lost. Verification compares word sequences around the
@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparkloom.llm.common import table, tidy, without_ids
+from sparkloom.llm.common import few, settle, table, tidy, without_ids
 
 SEGMENT = 64
 BLOCK = 8
@@ -32,8 +33,8 @@ THRESHOLD = 0.6
 #: Words in a row that count as shared, and the shares of a question's and an answer's runs that must be found.
 RUN = 5
 QUESTION, ANSWER = 0.6, 0.6
-#: The index is sent to every task; this bounds it.
-MOST_ITEMS = 200_000
+#: Bytes of items' texts in one index, which is sent to every task; more items are searched in parts, one after another.
+INDEX_TEXT = 48 << 20
 #: Cells of an impact table; beyond, postings are searched.
 MOST_CELLS = 1 << 23
 #: Words looked up at once, and passages searched at once, however long their text.
@@ -85,6 +86,24 @@ class Impacts:
         return np.where(self.keys[at] == ask, self.impact[at], 0.0)
 
 
+def cut(words: np.ndarray) -> list[np.ndarray]:
+    """Segments of at most SEGMENT words, of about one length."""
+    return np.array_split(words, -(-len(words) // SEGMENT)) if len(words) else []
+
+
+@dataclass
+class Statistics:
+    """How many segments all items have, their mean length, and in how many each of some terms occurs."""
+
+    segments: int
+    mean: float
+    terms: np.ndarray  # sorted
+    counts: np.ndarray
+
+    def holders(self, terms: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.terms, terms)]
+
+
 @dataclass
 class Index:
     """Segments of items, their terms' impacts, and by block of segments the terms' greatest impacts."""
@@ -102,23 +121,23 @@ class Index:
     by_block: Impacts
 
     @classmethod
-    def build(cls, ids: Sequence, questions: list[np.ndarray], answers: list[np.ndarray]) -> Index:
+    def build(cls, ids: Sequence, questions: list[np.ndarray], answers: list[np.ndarray], whole: Statistics | None = None) -> Index:
+        """whole: statistics of all items, where these are a part of them."""
         segments, item = [], []
         for k, (q, a) in enumerate(zip(questions, answers, strict=True)):
-            whole = np.concatenate([q, a])
-            cuts = max(1, -(-len(whole) // SEGMENT)) if len(whole) else 0
-            for part in np.array_split(whole, cuts) if cuts else []:
-                segments.append(part)
-                item.append(k)
+            own = cut(np.concatenate([q, a]))
+            segments += own
+            item += [k] * len(own)
         vocabulary = np.unique(np.concatenate(segments)) if segments else np.empty(0, dtype=np.int64)
         n, lengths = len(segments), np.array([len(s) for s in segments], dtype=float)
         of = np.repeat(np.arange(n), [len(s) for s in segments])
         term = np.searchsorted(vocabulary, np.concatenate(segments)) if segments else np.empty(0, dtype=np.int64)
         pair, tf = np.unique(term * max(n, 1) + of, return_counts=True)
         term, seg = np.divmod(pair, max(n, 1))
-        df = np.bincount(term, minlength=len(vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[seg] / lengths.mean())) if n else np.empty(0)
+        df = np.bincount(term, minlength=len(vocabulary)) if whole is None else whole.holders(vocabulary)
+        total, mean = (n, lengths.mean() if n else 1.0) if whole is None else (whole.segments, whole.mean)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[seg] / mean)) if n else np.empty(0)
         impact = impact / np.bincount(seg, impact, minlength=n)[seg] if n else impact
         starts = lambda t: np.searchsorted(t, np.arange(len(vocabulary) + 1))
         blocks = -(-n // BLOCK) or 1
@@ -220,33 +239,69 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
-def build_index(items: DataFrame, id: str = "item_id", text: str = "text") -> Index:
-    """Items without words, and repeats of an item's id and text, are left out. More than MOST_ITEMS are an error."""
-    spark = items.sparkSession
-    rows = items.select(F.col(f"`{id}`").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).distinct().limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items")
-    rows = sorted(rows, key=lambda r: (r["i"] is not None, r["i"], r["t"]))
-    if not rows:
+def _texts(items: DataFrame, id: str, text: str) -> DataFrame:
+    """Distinct (i, t, part) of items with words, settled; parts hold INDEX_TEXT bytes, about."""
+    rows = items.select(F.col(f"`{id}`").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).distinct()
+    rows = settle(rows, "items")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, -(-size // INDEX_TEXT)))).cast("int"))
+
+
+def _holders(rows: DataFrame) -> DataFrame:
+    """(term, n, words): in how many segments of all items a term occurs; the row without a term counts segments and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = cut(b.column(0)[k].values.to_numpy(zero_copy_only=False)) if b.column(0)[k].is_valid else []
+                if own:
+                    terms, n = np.unique(np.concatenate([np.unique(s) for s in own]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *terms.tolist()], pa.int64()), pa.array([len(own), *n.tolist()], pa.int64()), pa.array([sum(map(len, own)), *[0] * len(terms)], pa.int64())], names=["term", "n", "words"])
+
+    counted = rows.select(hashed_words(F.col("t"))).mapInArrow(tidy(run), "term bigint, n bigint, words bigint")
+    return settle(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "item-terms")
+
+
+def _index(rows: DataFrame, holders: DataFrame | None) -> Index:
+    """The index of a part's rows (i, t). Items without words are left out."""
+    spark = rows.sparkSession
+    found = sorted(rows.select("i", "t").collect(), key=lambda r: (r["i"] is not None, r["i"], r["t"]))
+    if not found:
         return Index.build([], [], [])
-    halves = spark.createDataFrame([(k, *split_item(r["t"])) for k, r in enumerate(rows)], "k int, q string, a string")
+    halves = spark.createDataFrame([(k, *split_item(r["t"])) for k, r in enumerate(found)], "k int, q string, a string")
     hashed = {r["k"]: (r["q"], r["a"]) for r in halves.select("k", hashed_words(F.col("q")).alias("q"), hashed_words(F.col("a")).alias("a")).collect()}
-    some = [k for k in range(len(rows)) if hashed[k][0] or hashed[k][1]]
+    some = [k for k in range(len(found)) if hashed[k][0] or hashed[k][1]]
     array = lambda k, side: np.array(hashed[k][side], dtype=np.int64)
-    return Index.build([rows[k]["i"] for k in some], [array(k, 0) for k in some], [array(k, 1) for k in some])
+    whole = None
+    if holders is not None:
+        total = holders.where("term is null").first()
+        own = rows.select(F.explode(hashed_words(F.col("t"))).alias("term")).distinct()
+        terms = sorted((r["term"], r["n"]) for r in holders.join(few(settle(own, "part-terms")), "term", "left_semi").collect())
+        whole = Statistics(total["n"] if total else 0, total["words"] / total["n"] if total else 1.0, np.array([t for t, _ in terms], dtype=np.int64), np.array([n for _, n in terms], dtype=np.int64))
+    return Index.build([found[k]["i"] for k in some], [array(k, 0) for k in some], [array(k, 1) for k in some], whole)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap), a row for each document and item that it holds.
 
-    Null and empty texts hold nothing; repeated documents are judged each; a null item id stays null. One pass over the
-    documents, without a shuffle."""
-    index = build_index(items, item_id, item_text)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(index)
+    Null and empty texts hold nothing; repeated documents are judged each, repeats of an item's id and text count once; a null
+    item id stays null. One pass over the documents, without a shuffle, for each INDEX_TEXT bytes of items: terms weigh as they
+    do in all items, so the parts give what one index would."""
+    rows = _texts(items, item_id, item_text)
+    parts = sorted(r["part"] for r in rows.select("part").distinct().collect())
+    holders = _holders(rows) if len(parts) > 1 else None
     kinds = docs.schema[id].dataType, items.schema[item_id].dataType
-    item_kind = to_arrow_type(kinds[1])
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double"
+    asked = docs.select(F.col(f"`{id}`").alias("doc_id"), hashed_words(F.col(f"`{text}`")).alias("w"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for k in parts:
+        sent = docs.sparkSession.sparkContext.broadcast(_index(rows.where(F.col("part") == k), holders))
+        out = out.union(settle(asked.mapInArrow(tidy(_searching(sent, to_arrow_type(kinds[1]))), schema), "leaks"))
+        sent.destroy()
+    return out
+
 
+def _searching(sent: Broadcast, item_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for b in batches:
@@ -261,8 +316,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x + lo for x in d])), pa.array([index.ids[x] for x in k], item_kind), *[pa.array(x, pa.float64()) for x in rest]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
                 lo = hi
 
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), hashed_words(F.col(f"`{text}`")).alias("w"))
-    return rows.mapInArrow(tidy(run), f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double")
+    return run
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id") -> DataFrame:

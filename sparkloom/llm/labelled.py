@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longer texts (bytes) are scored like all others, but aren't used for training.
-LONGEST_TRAINED = 100_000
+#: Longer texts (bytes) are scored like all others, but aren't used for training; nor are texts of a class beyond so many bytes.
+LONGEST_TRAINED, BYTES_PER_CLASS = 100_000, 24 << 20
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -17,16 +17,21 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int, columns: list[Column]) -> pa.Table:
-    """Rows (doc_id, _y, _o, columns) of at most per_class ids of each class, the first by a hash of the id; one row an id.
+    """Rows (doc_id, _y, _o, columns) of at most per_class ids and BYTES_PER_CLASS bytes of each class, the first by a hash
+    of the id; one row an id.
 
-    The ids are picked from the labels alone and broadcast (2 * per_class at most), so texts aren't shuffled. Null labels,
-    null, empty and very long texts don't count; held-out rows are never read."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out)
+    The ids are picked from the labels alone and broadcast (2 * per_class at most), so texts aren't shuffled. Null labels and
+    ids labelled both ways don't count, nor do null, empty and very long texts; held-out rows are never read."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("most")).where("_y = most").drop("most")
     known = known.withColumn("_o", F.xxhash64("doc_id", F.lit(5)))
     picked = [known.where(F.col("_y") == y).orderBy("_o", "doc_id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["doc_id"]))
-    rows = docs.where(F.octet_length("text").between(1, LONGEST_TRAINED)).join(ids, "doc_id")
-    rows = rows.select("doc_id", "_y", "_o", *columns).dropDuplicates(["doc_id"])
+    ids = F.broadcast(picked[0].union(picked[1]))
+    fit = docs.where(F.octet_length("text").between(1, LONGEST_TRAINED))
+    sizes = fit.select("doc_id", F.octet_length("text").alias("_n")).join(ids, "doc_id").groupBy("doc_id", "_y", "_o").agg(F.max("_n").alias("_n"))
+    upto = sizes.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_y").orderBy("_o", "doc_id")))  # 2 * per_class rows
+    ids = F.broadcast(upto.where(F.col("_upto") <= BYTES_PER_CLASS).select("doc_id", "_y", "_o"))
+    rows = fit.join(ids, "doc_id").select("doc_id", "_y", "_o", *columns).dropDuplicates(["doc_id"])
     return rows.toArrow().sort_by([("_o", "ascending"), ("doc_id", "ascending")])
 
 

@@ -1,7 +1,7 @@
 """Quality by compression: two zstandard dictionaries, from good and from bad labelled texts.
 
 A text is cut into blocks, each compressed against either dictionary; the difference of the summed sizes, normalised,
-becomes a score through a logistic curve fitted on the training rows. The model is two dictionaries and a few numbers.
+alone becomes a score, through a logistic curve fitted on training rows that no dictionary was trained on.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ LEVEL = 1
 THRESHOLD = 0.7
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(texts: list[bytes]) -> bytes | None:
+    """A dictionary trained on blocks of the texts, smaller where they are few; None where they are too few for any."""
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    if sum(map(len, blocks)) < 8 * DICTIONARY or len(blocks) < 32:
-        return b"".join(blocks)[-DICTIONARY:] or b"\n" * 8  # too little to train on: the raw content serves
-    return zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL).as_bytes()
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, blocks)) // 8), blocks, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return None
 
 
 @dataclass
@@ -51,43 +53,48 @@ class Compressors:
         blocks = [view[i : i + BLOCK] for i in range(0, len(view), BLOCK)]
         return sum(len(good(b)) for b in blocks), sum(len(bad(b)) for b in blocks)
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        """The normalised difference, and the compression rate, by which the curve bends."""
+    def difference(self, text: bytes) -> float:
+        """How much smaller the good dictionary makes a text than the bad one does, normalised; 0 for an empty text."""
         if not text:
-            return 0.0, 0.0, 0.0, 0.0
+            return 0.0
         g, b = self.sizes(text)
-        d, r = 10 * (b - g) / (b + g), (b + g) / (2 * len(text))
-        return d, r, d * r, r * r
+        return 10 * (b - g) / (b + g)
 
 
 @dataclass
 class Model:
-    good: bytes
-    bad: bytes
-    coefficients: list[float]
+    """The two dictionaries, or none, and the curve: a factor for the difference, and what stands without one."""
+
+    good: bytes | None
+    bad: bytes | None
+    factor: float
+    base: float
 
     def scorer(self):
-        c, w = Compressors(self.good, self.bad), np.array(self.coefficients)
-        return lambda texts: sigmoid(np.array([c.features(t) for t in texts], dtype=float).reshape(-1, len(w) - 1) @ w[:-1] + w[-1])
+        if self.good is None or self.bad is None:
+            return lambda texts: np.full(len(texts), sigmoid(np.array(self.base)))
+        c = Compressors(self.good, self.bad)
+        return lambda texts: sigmoid(self.factor * np.array([c.difference(t) for t in texts], dtype=float) + self.base)
 
 
 def train(texts: list[bytes], labels: list[int], rate: float) -> Model:
-    """Dictionaries from one half of the rows, the curve from the other half, on which no dictionary was fitted."""
+    """Dictionaries from one half of the rows, the curve from the other half, on which no dictionary was fitted. Where a
+    class has too few texts for a dictionary or for the curve, the model says the share `rate` for every text."""
     y = np.array(labels, dtype=float)
     half = np.arange(len(texts)) % 2 == 0
-    good = _dictionary([t for t, k, h in zip(texts, labels, half, strict=True) if k == 1 and h])
-    bad = _dictionary([t for t, k, h in zip(texts, labels, half, strict=True) if k == 0 and h])
-    rest = np.flatnonzero(~half) if len(set(y[~half])) == 2 else np.arange(len(texts))
-    if len(set(y[rest])) < 2:
+    good, bad = (_dictionary([t for t, k, h in zip(texts, labels, half, strict=True) if k == label and h]) for label in (1, 0))
+    if good is None or bad is None or len(set(y[~half])) < 2:
         p = min(max(rate, 0.01), 0.99)
-        return Model(good, bad, [0.0] * 4 + [float(np.log(p / (1 - p)))])
+        return Model(None, None, 0.0, float(np.log(p / (1 - p))))
     c = Compressors(good, bad)
-    x = np.array([c.features(texts[i]) for i in rest])
-    return Model(good, bad, [float(v) for v in logistic(x, y[rest], class_weights(y[rest], rate))])
+    x = np.array([[c.difference(t)] for t, h in zip(texts, half, strict=True) if not h])
+    factor, base = logistic(x, y[~half], class_weights(y[~half], rate))
+    return Model(good, bad, float(factor), float(base))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """(doc_id, name) of every row; null and empty texts get the score of no evidence."""
+    """(doc_id, name) of every row, repeated ones too; null and empty texts get the score of no difference. Other columns of
+    docs, whatever their names, are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()

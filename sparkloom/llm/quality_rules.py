@@ -1,8 +1,9 @@
 """Line-first quality rules: lines are judged first, failing lines go, then documents that lost too much are rejected.
 
 A line fails if it has no word, repeats an earlier line, doesn't end as a sentence does, is navigation (several
-separators among its words), is boilerplate (licences, cookies, menus), shouts, or is full of symbols. All of it is
-built-in functions over the text, without a shuffle.
+separators among its words, or addresses for a good part of them), is boilerplate (stock phrases of licences, notices and
+menus make up a good part of its words; a word like cookie in a sentence is no fault), shouts, or is full of symbols. All
+of it is built-in functions over the text, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,20 +24,32 @@ _SYMBOL = r"[#*$%&|<>]"
 _SPACES = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _SENTENCE_END = r"[.!?…:;][\x22'”’»)\]]*[\x20\x09-\x0D]*$"
-_BOILERPLATE = r"all rights reserved|copyright|spdx-license|licensed under|terms of (use|service)|privacy policy|cookie|javascript|subscribe|sign in|log in|click here|read more"
+_BARS = r"[|»›•·]"
+_ADDRESS = r"(://|www\.)[^\x20\x09-\x0D]"
+#: Stock phrases, whole words of a line in lower case.
+_PHRASES = (
+    "all rights reserved", "copyright (©|\\(c\\)|[0-9]{4})", "©", "spdx-license-identifier", "(re)?licen[sc]ed under", "released under", "(general )?public license", "(mit|apache|bsd|cc) (license|by[a-z-]*)",
+    "creative commons", "terms of (use|service)", "privacy policy", "cookie (policy|settings|preferences|notice)", "(accept|uses?) (all )?cookies", "enable javascript", "javascript is (disabled|required)",
+    "subscribe (now|today|to our newsletter)", "(sign|log) (in|up|out)", "click here", "read more", "skip to (main )?content", "back to top",
+)
+_BOILERPLATE = r"(^|[^\p{L}])(" + "|".join(_PHRASES) + r")([^\p{L}]|$)"
 _SHOUT = r"\p{Ll}"
 
 
 def _line_ok(line: Column) -> Column:
-    n_words = F.regexp_count(line, F.lit(rf"{_WORD}+"))
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    words_of = lambda x: F.regexp_count(x, F.lit(rf"{_WORD}+"))
+    n_words = words_of(line)
+    bars = F.regexp_count(line, F.lit(_BARS))
     symbols = F.regexp_count(line, F.lit(_SYMBOL))
+    low = F.lower(line)
+    stock = n_words - words_of(F.regexp_replace(low, _BOILERPLATE, " "))
     return (
         line.rlike(_SENTENCE_END)
         & ~((bars >= 3) & (bars * 4 >= n_words))
         & (symbols * 4 <= n_words)
         & (line.rlike(_SHOUT) | (n_words < 3))
-        & ~F.lower(line).rlike(_BOILERPLATE)
+        & (F.regexp_count(line, F.lit(_ADDRESS)) * 4 <= n_words)
+        & ~(low.rlike(_BOILERPLATE) & (stock * 4 >= n_words))
     )
 
 
@@ -47,8 +60,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has no words and fails. Windows are compared by a 64-bit hash of their eight word hashes.
     Columns of df with these names are replaced.
     """
-    inner = {"_w", "_lines", "_h", "_first", "_win", "_s"}
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in {*COLUMNS, "good_lines", *inner}]
+    rest = ["_doc"]
+    df = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    text, columns = "_text", df.schema["_doc"].dataType.names[1:]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = df.select(*rest, words(whole).alias("_w"), F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(_WORD)).alias("_lines"), F.regexp_count(whole, F.lit(_SYMBOL)).cast("bigint").alias("n_symbols"))
     two = one.select(
@@ -78,7 +92,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(starts, begin, lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     five = four.select(*rest, *kept_names, "n_dup_lines", "good_lines", covered.alias("n_repeat_words"), F.length(F.regexp_replace(F.array_join("good_lines", ""), _SPACES, "")).cast("bigint").alias("n_good_chars"))
     six = five.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    return six.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_good_chars") >= LEAST_KEPT * F.col("word_chars")))
+    out = six.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_good_chars") >= LEAST_KEPT * F.col("word_chars")))
+    new = [*COLUMNS, "good_lines"]
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in columns if c not in new], *new)
 
 
 def clean_documents(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -116,10 +132,11 @@ WITH base AS (
 ), judged AS (
   SELECT *, (n_lines - len(firsts))::BIGINT AS n_dup_lines,
     list_filter(firsts, lambda x: regexp_matches(x, '[.!?…:;][\\x22''”’»)\\]]*[\\x20\\x09-\\x0D]*$')
-      AND NOT (length(x) - length(replace(x, '|', '')) >= 3 AND (length(x) - length(replace(x, '|', ''))) * 4 >= len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')))
+      AND NOT (len(regexp_extract_all(x, '{_BARS}')) >= 3 AND len(regexp_extract_all(x, '{_BARS}')) * 4 >= len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')))
       AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 <= len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))
       AND (regexp_matches(x, '\\p{{Ll}}') OR len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) < 3)
-      AND NOT regexp_matches(lower(x), '{_BOILERPLATE}')) AS good
+      AND len(regexp_extract_all(x, '{_ADDRESS}')) * 4 <= len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))
+      AND NOT (regexp_matches(lower(x), '{_BOILERPLATE}') AND (len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) - len(regexp_extract_all(regexp_replace(lower(x), '{_BOILERPLATE}', ' ', 'g'), '[^\\x20\\x09-\\x0D]+'))) * 4 >= len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')))) AS good
   FROM counted
 ), windows AS (
   SELECT rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT rid, w, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM judged WHERE n_words >= {WINDOW})

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tokenizers
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkloom.llm import (
@@ -208,6 +209,34 @@ def test_search_loses_nothing_above_the_threshold(monkeypatch, cells):
     assert set(zip(p.tolist(), s.tolist(), strict=True)) == want and want
 
 
+def test_items_in_parts_are_found_as_in_one_index(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([12, 30, 900]))) + ". So it is " + " ".join(rng.choices(vocabulary, k=6)) + ".") for k in range(30)]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=50)) + " " + (rng.choice(items)[1] if k % 3 else "") + " tail") for k in range(60)]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items * 2, "item_id bigint, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.find_leaks(*frames).collect())
+    want = found()
+    assert len(want) >= 40
+    monkeypatch.setattr(decontaminate, "INDEX_TEXT", 8000)
+    assert found() == want
+
+
+def test_impacts_are_bm25s():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 40, n) for n in (5, 64, 20, 33)]
+    index = decontaminate.Index.build(range(4), items, [np.empty(0, dtype=np.int64)] * 4)
+    mean = np.mean([len(x) for x in items])
+    for k, own in enumerate(items):
+        raw = {}
+        for w in set(own.tolist()):
+            df, tf = sum(w in x for x in items), (own == w).sum()
+            raw[w] = np.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        for w, v in raw.items():
+            at = np.searchsorted(index.vocabulary, [w])
+            assert abs(index.by_seg.at(at, np.array([k]))[0] - v / sum(raw.values())) < 1e-12
+
+
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "same words here again and again."), (2, None), (3, ""), (None, "x x x"), (1, "same words here again and again.")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table(spark, ODD, extra=True), bench).collect()}
@@ -336,6 +365,14 @@ def test_quality_rules_of_odd_rows(spark):
     assert quality_rules.measure(table(spark, [])).count() == 0
 
 
+def test_words_of_boilerplate_in_prose_are_no_fault(spark):
+    prose = ["She baked one cookie for each of the three children.", "They argued whether the copyright act applies to a song.", "He would subscribe to no theory of his own age.", "The dialog in the play and its design in blue are fine."]
+    stock = ["Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Home » News » Sport » More.", "See www.a.org and http://b.org now.", "Read more.", "This work is licensed under the GNU General Public License, version 3."]
+    rows = [(k, x, "s") for k, x in enumerate(prose + stock)]
+    got = {r.doc_id: len(r.good_lines) for r in quality_rules.measure(table(spark, rows, extra=True)).collect()}
+    assert got == {k: int(k < len(prose)) for k in range(len(rows))}
+
+
 def test_cleaning_keeps_good_lines(spark):
     good = "\n".join(" ".join(f"word{k}x{j}" for j in range(9)) + "." for k in range(5))
     bad = good + "\nHome | About | Help | Login\nAll rights reserved."
@@ -452,6 +489,44 @@ def test_a_capped_class_keeps_its_rate(spark, tmp_path, monkeypatch):
     assert got.score.mean() < 0.25 and got.predicted.mean() < 0.1
 
 
+def test_compression_scores_are_a_curve_of_the_difference(spark):
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    vocabulary = [[word("abcde") for _ in range(60)], [word("vwxyz") for _ in range(60)]]
+    texts = [" ".join(rng.choice(vocabulary[k % 2]) for _ in range(300)).encode() for k in range(120)]
+    y = [k % 2 for k in (x // 2 for x in range(120))]
+    texts = [t for _, t in sorted(zip(range(120), texts), key=lambda p: (p[0] // 4, p[0] % 2))]
+    labels = [int(t[:1] in b"vwxyz") for t in texts]
+    model = quality_classifier.train(texts, labels, 0.5)
+    tools = [zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    rows = [(k, t.decode(), "s") for k, t in enumerate(texts)] + [(500, None, "s"), (501, "", "s"), (501, "", "s")]
+    docs = table(spark, rows, extra=True).withColumn("name", F.lit(1))
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    for k, t in enumerate(texts):
+        good, bad = (sum(len(c.compress(t[i : i + quality_classifier.BLOCK])) for i in range(0, len(t), quality_classifier.BLOCK)) for c in tools)
+        want = 1 / (1 + np.exp(-(model.factor * 10 * (bad - good) / (bad + good) + model.base)))
+        assert abs(got[k] - want) < 1e-9 and (got[k] > 0.5) == bool(labels[k])
+    assert got[500] == got[501] and len(y) == 120
+    assert quality_classifier.train([b"too", b"few"], [0, 1], 0.3).scorer()([b"x"]).tolist() == pytest.approx([0.3])
+
+
+def test_ids_labelled_both_ways_are_not_trained_on(spark, monkeypatch):
+    docs = table(spark, [(k, "some words here", "s") for k in range(20)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(20)] + [(3, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    rows = labelled.training_rows(docs, labels, "toxic", F.lit(False), 100, ["text"]).to_pylist()
+    assert sorted(r["doc_id"] for r in rows) == [k for k in range(20) if k != 3]
+    monkeypatch.setattr(labelled, "BYTES_PER_CLASS", 60)
+    rows = labelled.training_rows(docs, labels, "toxic", F.lit(False), 100, ["text"]).to_pylist()
+    assert collections.Counter(r["_y"] for r in rows) == {0: 4, 1: 4}
+
+
+def test_toxicity_keeps_callers_columns(spark):
+    model = toxicity.train([np.ones((3, toxicity.PARTS), dtype=np.int32)] * 20, [k % 2 for k in range(20)], ["en"] * 20, 0.5)
+    got = toxicity.score(table(spark, ODD, extra=True).withColumns({"_words": F.lit(7), "words_": F.lit(8)}), model)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", *[c for c in EXTRA if c != "score"], "_words", "words_", "score"]
+    assert {(r._words, r.words_) for r in got.collect()} == {(7, 8)}
+
+
 def test_threshold_of_weighted_rows():
     """Where a clean row stands for ten, the best threshold leaves it out."""
     y, s = np.array([1, 1, 1, 1, 0, 0, 0, 0.0]), np.array([0.8, 0.8, 0.4, 0.4, 0.5, 0.2, 0.2, 0.2])

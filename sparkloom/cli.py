@@ -7,17 +7,18 @@ import json
 import statistics
 import sys
 import time
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from pathlib import Path
 from typing import Any
 
 from sparkloom.config import configured
 from sparkloom.plans.compiler import explain, optimize, validate
 from sparkloom.plans.frontends import compile_intent, compile_recipe, parse_params
-from sparkloom.plans.ir import Plan, PlanError, dump, parse_plan
+from sparkloom.plans.ir import Plan, PlanError, ValueRef, dump, members, parse_plan
 from sparkloom.plans.mining import suggest
 from sparkloom.plans.result import KeyRedactor
 from sparkloom.plans.runtime import RunConfig, Runtime
+from sparkloom.plans.schema import DOCUMENTS
 from sparkloom.sources.base import conformance
 
 
@@ -47,6 +48,19 @@ def bench(runtime: Runtime, plan: Plan, iterations: int = 3, warmup: int = 1) ->
     return stats | {"speedup": a / b if b else None, "saved_ms": a - b}
 
 
+def bench_suite(runtime: Runtime, suite: Any) -> list[dict]:
+    """bench() of each case of a suite: iterations, warmup, and cases of id and plan, intent, or recipe with params. A plan's
+    nodes all count as outputs, so that elimination doesn't pass for speed; recipes and intents likewise."""
+    d = members(suite, "suite", ("cases",), ("iterations", "warmup"))
+    found = []
+    for raw in d["cases"]:
+        c = members(raw, "case", ("id",), ("plan", "intent", "recipe", "params"))
+        plan = parse_plan(c["plan"]) if "plan" in c else compile_intent(c["intent"]) if "intent" in c else compile_recipe(c.get("recipe"), c.get("params"))
+        plan = replace(plan, outputs={n.id: ValueRef(n.id) for n in plan.nodes})
+        found.append({"id": c["id"]} | bench(runtime, plan, d.get("iterations", 3), d.get("warmup", 1)))
+    return found
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sparkloom", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -79,6 +93,9 @@ def parser() -> argparse.ArgumentParser:
     b = add("bench", "plan", config=True)
     b.add_argument("-i", "--iterations", type=int, default=3)
     b.add_argument("--warmup", type=int, default=1)
+    add("bench-suite", "suite", config=True)
+    k = add("schema")
+    k.add_argument("kind", choices=sorted(DOCUMENTS))
     c = add("conformance", "adapter", config=True)
     c.add_argument("--echo-tool", default="echo")
     c.add_argument("--failing-tool")
@@ -119,6 +136,10 @@ def execute(argv: list[str]) -> int:
             return int(result.status != "success")
         case "bench":
             show(bench(configured(a.config), parse_plan(read_json(a.plan)), a.iterations, a.warmup))
+        case "bench-suite":
+            show({"cases": bench_suite(configured(a.config), read_json(a.suite))})
+        case "schema":
+            show(DOCUMENTS[a.kind])
         case "conformance":
             runtime = configured(a.config)
             if a.adapter not in runtime.executors:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
 from collections.abc import Iterable, Mapping
 from dataclasses import replace
 from typing import Any
 
+from sparkloom.plans.compiler import Capability
 from sparkloom.plans.ir import (
-    ITEM, MISSING, PARAM, PREV, REF, Effects, Limits, Cost, Node, Plan, PlanError, Tool, ValueRef, When,
-    check_node_id, check_version, collect_refs, members, parse_effects, parse_outputs, parse_tools, rewrite, strings, typed, unescape_segment,
+    ITEM, MISSING, PARAM, PREV, REF, VERSION, Effects, Limits, Cost, Node, Plan, PlanError, Tool, ValueRef, When,
+    check_node_id, check_version, collect_refs, dump, members, parse_effects, parse_outputs, parse_tool, parse_tools, rewrite, strings, typed, unescape_segment,
 )
 
 _HEAD = ("name", "description", "tools", "outputs")
@@ -147,8 +150,105 @@ class PlanBuilder:
         return self.plan
 
 
+class IntentBuilder:
+    """Intents in code: IntentBuilder().tool(...).step(...).output(...); build() gives the document, compile() the plan."""
+
+    def __init__(self, name: str | None = None):
+        self.doc: dict[str, Any] = {"version": VERSION, "tools": {}, "steps": [], "outputs": {}} | ({"name": name} if name else {})
+
+    def tool(self, name: str, adapter: str = "builtin", **parts: Any) -> IntentBuilder:
+        self.doc["tools"][name] = _described(adapter, parts)
+        return self
+
+    def step(self, id: str, tool: str, input: Any = None, *, after: Iterable[str] = ()) -> IntentBuilder:
+        self.doc["steps"].append({"id": id, "tool": tool} | ({} if input is None else {"input": input}) | ({"after": list(after)} if after else {}))
+        return self
+
+    def output(self, name: str, ref: str) -> IntentBuilder:
+        self.doc["outputs"][name] = ref
+        return self
+
+    def build(self) -> dict[str, Any]:
+        return self.doc
+
+    def compile(self) -> Plan:
+        return compile_intent(self.doc)
+
+
+class RecipeBuilder:
+    """Recipes in code. One of fan_out, map_reduce and pipeline says what is done; param() declares a parameter (None:
+    required), which param_ref() stands for."""
+
+    def __init__(self, name: str | None = None):
+        self.doc: dict[str, Any] = {"version": VERSION, "tools": {}, "params": {}, "outputs": {}} | ({"name": name} if name else {})
+
+    def tool(self, name: str, adapter: str = "builtin", **parts: Any) -> RecipeBuilder:
+        self.doc["tools"][name] = _described(adapter, parts)
+        return self
+
+    def param(self, name: str, default: Any = None) -> RecipeBuilder:
+        self.doc["params"][name] = default
+        return self
+
+    def _set(self, kind: str, **parts: Any) -> RecipeBuilder:
+        self.doc["recipe"] = {"kind": kind} | {k: v for k, v in parts.items() if v is not None}
+        return self
+
+    def fan_out(self, tool: str, items: Any = None, *, items_ref: str | None = None, prefix: str | None = None, key: str | None = None) -> RecipeBuilder:
+        return self._set("fan_out", tool=tool, items=items, items_ref=items_ref, node_prefix=prefix, input_key=key)
+
+    def map_reduce(self, tool: str, reduce_tool: str, items: Any = None, *, items_ref: str | None = None, prefix: str | None = None, key: str | None = None, reduce_key: str | None = None) -> RecipeBuilder:
+        return self._set("map_reduce", tool=tool, reduce_tool=reduce_tool, items=items, items_ref=items_ref, node_prefix=prefix, input_key=key, reduce_input_key=reduce_key)
+
+    def pipeline(self, *steps: tuple[str, Any], prefix: str | None = None) -> RecipeBuilder:
+        return self._set("pipeline", steps=[{"tool": t, "input": x} for t, x in steps], node_prefix=prefix)
+
+    def output(self, name: str, ref: str) -> RecipeBuilder:
+        self.doc["outputs"][name] = ref
+        return self
+
+    def build(self) -> dict[str, Any]:
+        return self.doc
+
+    def compile(self, **params: Any) -> Plan:
+        return compile_recipe(self.doc, params)
+
+
+def _described(adapter: str, parts: Mapping[str, Any]) -> dict[str, Any]:
+    """A tool as a document: limits, cost and version by name, the rest are effects. Checked at once."""
+    head = {k: dump(v) for k, v in parts.items() if k in ("limits", "cost", "version") and v is not None}
+    effects = {k: list(v) if isinstance(v, tuple | set) else v for k, v in parts.items() if k not in ("limits", "cost", "version")}
+    doc = {"adapter": adapter} | head | ({"effects": effects} if effects else {})
+    parse_tool(doc)
+    return doc
+
+
+def fan_out(tool: str, inputs: Iterable[Any], prefix: str = "item_") -> list[Node]:
+    """A node for each input, as a recipe makes them."""
+    return [Node(f"{prefix}{k}", tool, x) for k, x in enumerate(inputs, 1)]
+
+
+def capabilities(**tools: Mapping[str, Any]) -> dict[str, Capability]:
+    """What an adapter says of its tools: capabilities(read={"reads": ["x"], "cost": Cost(5)}, ...)."""
+    out = {}
+    for name, parts in tools.items():
+        t = parse_tool(_described("", {k: v for k, v in parts.items() if not k.endswith("_schema")}))
+        out[name] = Capability(t.effects, t.limits, t.cost, t.version, parts.get("input_schema"), parts.get("output_schema"))
+    return out
+
+
+def run_by_cli(doc: Plan | Mapping[str, Any], *options: str, command: str = "run", timeout_s: float = 600) -> dict[str, Any]:
+    """The result document of `python -m sparkloom run`, in a process of its own; PlanError with its complaint if it has none."""
+    text = json.dumps(dump(doc) if isinstance(doc, Plan) else doc)
+    done = subprocess.run([sys.executable, "-m", "sparkloom", command, "-", *options], input=text, capture_output=True, text=True, timeout=timeout_s, check=False)
+    try:
+        return json.loads(done.stdout)
+    except ValueError:
+        raise PlanError("cli", done.stderr.strip() or f"ended with {done.returncode}") from None
+
+
 def ref(node: str, *path: str) -> dict:
     return {REF: str(ValueRef(node, tuple(path)))}
 
 
-__all__ = ["Effects", "PlanBuilder", "compile_intent", "compile_recipe", "parse_params", "ref", "splice"]
+__all__ = ["Effects", "IntentBuilder", "PlanBuilder", "RecipeBuilder", "capabilities", "compile_intent", "compile_recipe", "fan_out", "parse_params", "ref", "run_by_cli", "splice"]

@@ -127,6 +127,12 @@ def rewrite(value: Any, rules: Mapping[str, Callable[[Any], Any]], keep_literal:
 
 def collect_refs(value: Any) -> list[ValueRef]:
     """References within a value, in order, each once."""
+    if isinstance(value, dict) and REF not in value:
+        for x in value.values():
+            if isinstance(x, (dict, list)):
+                break
+        else:
+            return []
     found: dict[str, None] = {}
     stack = [value]
     while stack:
@@ -275,6 +281,8 @@ class Node:
     when: When | None = None
 
     def data_refs(self) -> list[ValueRef]:
+        if self.for_each is None and self.when is None:
+            return collect_refs(self.input)
         gates = [self.for_each] if self.for_each else []
         return collect_refs(self.input) + gates + ([self.when.ref] if self.when else [])
 
@@ -282,7 +290,8 @@ class Node:
         return {r.node for r in self.data_refs()}
 
     def dependencies(self) -> set[str]:
-        return self.data_dependencies() | set(self.depends_on)
+        refs = self.data_refs()
+        return {r.node for r in refs}.union(self.depends_on) if refs else set(self.depends_on)
 
 
 @dataclass(frozen=True)

@@ -50,3 +50,28 @@ def _check(s: Any, v: Any, at: str) -> str | None:
         known, other = s.get("properties", {}), s.get("additionalProperties", True)
         return next((e for k, x in v.items() if (e := _check(known.get(k, other), x, f"{at}.{k}"))), None)
     return None
+
+
+def _object(required: dict[str, Any], **optional: Any) -> dict[str, Any]:
+    return {"type": "object", "required": list(required), "properties": required | optional, "additionalProperties": False}
+
+
+_TEXT, _FLAG, _TEXTS = {"type": "string"}, {"type": "boolean"}, {"type": "array", "items": {"type": "string"}}
+_COUNT, _AMOUNT = {"type": "integer", "minimum": 1}, {"type": "integer", "minimum": 0}
+_RETRY = _object({"max_attempts": _AMOUNT}, retryable_errors=_TEXTS, backoff_ms=_COUNT)
+_EFFECTS = _object({}, **dict.fromkeys(("pure", "idempotent", "cacheable", "batchable", "commutative"), _FLAG), reads=_TEXTS, writes=_TEXTS, timeout_ms=_COUNT, retry=_RETRY)
+_TOOL = _object({"adapter": _TEXT}, effects=_EFFECTS, limits=_object({}, max_concurrency=_COUNT, batch_size=_COUNT), cost=_object({}, fixed_ms=_AMOUNT, per_call_ms=_AMOUNT, tokens=_AMOUNT), version=_TEXT)
+_HEAD = {"name": _TEXT, "description": _TEXT, "tools": {"type": "object", "additionalProperties": _TOOL}, "outputs": {"type": "object", "additionalProperties": _TEXT}}
+_WHEN = _object({"ref": _TEXT}, equals=True, **{"not": _FLAG})
+_LIST = {"type": "array"}
+#: JSON schemas of the documents that the front-ends take.
+DOCUMENTS = {
+    "plan": _object({"version": _TEXT}, **_HEAD, nodes=_LIST | {"items": _object({"id": _TEXT, "tool": _TEXT}, input=True, depends_on=_TEXTS, for_each=_TEXT, when=_WHEN)}),
+    "intent": _object({"version": _TEXT}, **_HEAD, steps=_LIST | {"items": _object({"id": _TEXT, "tool": _TEXT}, input=True, after=_TEXTS)}),
+    "recipe": _object({"version": _TEXT, "recipe": {"type": "object", "required": ["kind"], "properties": {"kind": {"enum": ["fan_out", "map_reduce", "pipeline"]}}}}, **_HEAD, params={"type": "object"}),
+}
+
+
+def check_document(kind: str, doc: Any) -> str | None:
+    """What is wrong with a plan, intent or recipe by its schema, or None."""
+    return _check(DOCUMENTS[kind], doc, kind)

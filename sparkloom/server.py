@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import sys
 import threading
 from concurrent.futures import ThreadPoolExecutor
@@ -13,11 +12,11 @@ from sparkloom.plans.compiler import explain
 from sparkloom.plans.frontends import compile_intent, compile_recipe
 from sparkloom.plans.ir import PlanError, members, parse_plan
 from sparkloom.plans.runtime import RunConfig, Runtime
-from sparkloom.sources.mcp import PROTOCOL, version_ok
+from sparkloom.sources.mcp import PROTOCOL, depth, version_ok
 
 #: The offered tools' names and what they take, and how deep servers may nest.
 TOOLS = {"run_compiled_tool_graph": "plan", "run_compiled_tool_intent": "intent", "run_compiled_tool_recipe": "recipe", "explain_tool_plan": "plan"}
-DEPTH_VARIABLE, DEEPEST = "SPARKLOOM_DEPTH", 2
+DEEPEST = 2
 _OPTIONS = {"result_mode": {"enum": ["full", "compact"]}, "on_error": {"enum": ["fail_fast", "continue"]}}
 
 
@@ -34,7 +33,7 @@ def tool_list() -> list[dict]:
 
 
 def call_tool(runtime: Runtime, name: str, arguments: Any) -> dict:
-    if int(os.environ.get(DEPTH_VARIABLE, "0")) >= DEEPEST:
+    if depth() >= DEEPEST:
         raise PlanError("too_deep", "servers are nested too deep")
     if name not in TOOLS:
         raise PlanError("unknown_tool", f"unknown tool {name!r}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -105,6 +105,15 @@ class Functions:
         return self.functions[tool](input)
 
 
+def as_column_function(function: Callable, kind: Any, effects: Effects | None) -> Any:
+    """A Python function as a function of columns that Catalyst treats as its effects allow: unless it is pure it may be
+    neither merged with an equal call, nor moved, nor called again for a row that it has been called for."""
+    from pyspark.sql import functions as F
+
+    made = F.udf(function, kind)
+    return made if effects is not None and effects.pure else made.asNondeterministic()
+
+
 @dataclass(frozen=True)
 class Check:
     name: str

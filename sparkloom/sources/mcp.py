@@ -6,6 +6,7 @@ import collections
 import contextlib
 import itertools
 import json
+import os
 import queue
 import subprocess
 import threading
@@ -23,6 +24,14 @@ from sparkloom.sources.http import Client, UrllibClient
 #: Fixed values of the protocol.
 PROTOCOL = "2025-06-18"
 REQUEST_TIMEOUT_S, STDERR_LINES = 60.0, 40
+#: Names the environment variable that says how deep a server is nested.
+DEPTH_VARIABLE = "SPARKLOOM_DEPTH"
+
+
+def depth() -> int:
+    """How many servers of this kind this process runs under."""
+    told = os.environ.get(DEPTH_VARIABLE, "0")
+    return int(told) if told.isdigit() else 0
 
 
 def version_ok(v: Any) -> bool:
@@ -139,33 +148,23 @@ class McpHttp:
         return _listed(self.name, lambda p: self._ask("tools/list", p))
 
 
-class McpStdio:
-    """One server process, started when first needed and again when it has died. A batch writes all its requests before
-    it waits for any answer."""
+class _Session:
+    """One life of a server process and what is waited for from it."""
 
-    def __init__(self, name: str, command: Sequence[str], timeout_s: float = REQUEST_TIMEOUT_S, env: Mapping[str, str] | None = None):
-        self.name, self.command, self.timeout_s, self.env = name, list(command), timeout_s, env
-        self.lock, self.ids, self.process = threading.Lock(), itertools.count(1), None
+    def __init__(self, name: str, process: subprocess.Popen, timeout_s: float):
+        self.name, self.process, self.timeout_s = name, process, timeout_s
+        self.ids, self.writing = itertools.count(1), threading.Lock()
         self.waiting: dict[int, queue.Queue] = {}
         self.stderr: collections.deque[str] = collections.deque(maxlen=STDERR_LINES)
+        threading.Thread(target=self._read, daemon=True).start()
+        threading.Thread(target=lambda: self.stderr.extend(process.stderr), daemon=True).start()
 
-    def _start(self) -> None:
-        with self.lock:
-            if self.process and self.process.poll() is None:
-                return
-            try:
-                self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, bufsize=1, env=self.env)
-            except OSError as e:
-                raise ToolError(str(e), "mcp_transport") from e
-            threading.Thread(target=self._read, args=(self.process,), daemon=True).start()
-            threading.Thread(target=lambda p: self.stderr.extend(p.stderr), args=(self.process,), daemon=True).start()
-        hello = self._ask(self._send("initialize", {"protocolVersion": PROTOCOL, "capabilities": {}, "clientInfo": {"name": "sparkloom", "version": "0"}}))
-        if not version_ok(hello.get("protocolVersion")):
-            raise ToolError("the server names no protocol version", "mcp_protocol", False)
-        self._write({"jsonrpc": "2.0", "method": "notifications/initialized"})
+    @property
+    def alive(self) -> bool:
+        return self.process.poll() is None
 
-    def _read(self, process: subprocess.Popen) -> None:
-        for line in process.stdout:
+    def _read(self) -> None:
+        for line in self.process.stdout:
             with contextlib.suppress(ValueError, AttributeError):
                 got = json.loads(line)
                 if box := self.waiting.pop(got.get("id"), None):
@@ -174,21 +173,26 @@ class McpStdio:
             if box := self.waiting.pop(key, None):
                 box.put(None)
 
-    def _write(self, message: dict) -> None:
+    def _told(self) -> str:
+        return "".join(self.stderr)[-500:]
+
+    def write(self, message: dict) -> None:
         try:
-            with self.lock:
+            with self.writing:
                 self.process.stdin.write(json.dumps(message) + "\n")
                 self.process.stdin.flush()
         except OSError as e:
-            raise ToolError(f"{self.name} is gone: {''.join(self.stderr)[-500:]}", "mcp_transport") from e
+            raise ToolError(f"{self.name} is gone: {self._told()}", "mcp_transport") from e
 
-    def _send(self, method: str, params: dict) -> tuple[int, queue.Queue]:
+    def send(self, method: str, params: dict) -> tuple[int, queue.Queue]:
         key, box = next(self.ids), queue.Queue()
         self.waiting[key] = box
-        self._write({"jsonrpc": "2.0", "id": key, "method": method, "params": params})
+        self.write({"jsonrpc": "2.0", "id": key, "method": method, "params": params})
+        if not self.alive and self.waiting.pop(key, None):  # its reader may have left before the box stood there
+            box.put(None)
         return key, box
 
-    def _ask(self, sent: tuple[int, queue.Queue]) -> dict:
+    def ask(self, sent: tuple[int, queue.Queue]) -> dict:
         key, box = sent
         try:
             got = box.get(timeout=self.timeout_s)
@@ -196,28 +200,66 @@ class McpStdio:
             self.waiting.pop(key, None)
             raise ToolError(f"{self.name} didn't answer in time", "timeout", True) from e
         if got is None:
-            raise ToolError(f"{self.name} ended: {''.join(self.stderr)[-500:]}", "mcp_transport")
+            raise ToolError(f"{self.name} ended: {self._told()}", "mcp_transport")
         if "error" in got:
             raise ToolError(str(got["error"].get("message")), "mcp_server")
         return got.get("result") or {}
 
+    def greet(self) -> None:
+        hello = self.ask(self.send("initialize", {"protocolVersion": PROTOCOL, "capabilities": {}, "clientInfo": {"name": "sparkloom", "version": "0"}}))
+        if not version_ok(hello.get("protocolVersion")):
+            raise ToolError("the server names no protocol version", "mcp_protocol", False)
+        self.write({"jsonrpc": "2.0", "method": "notifications/initialized"})
+
+    def end(self) -> None:
+        if self.alive:
+            with contextlib.suppress(OSError):
+                self.process.stdin.close()
+            try:
+                self.process.wait(2)
+            except subprocess.TimeoutExpired:
+                self.process.kill()
+
+
+class McpStdio:
+    """One server process, started when first needed and again when it has died. Nobody gets a process whose greeting isn't
+    answered; one that fails it is ended. A batch writes all its requests before it waits for any answer. A process is told
+    how deep it is nested, one deeper than this one."""
+
+    def __init__(self, name: str, command: Sequence[str], timeout_s: float = REQUEST_TIMEOUT_S, env: Mapping[str, str] | None = None):
+        self.name, self.command, self.timeout_s, self.env = name, list(command), timeout_s, env
+        self.starting, self.session = threading.Lock(), None
+
+    def _started(self) -> _Session:
+        with self.starting:
+            if self.session and self.session.alive:
+                return self.session
+            env = {**(os.environ if self.env is None else self.env), DEPTH_VARIABLE: str(depth() + 1)}
+            try:
+                process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, bufsize=1, env=env)
+            except OSError as e:
+                raise ToolError(str(e), "mcp_transport") from e
+            session = _Session(self.name, process, self.timeout_s)
+            try:
+                session.greet()
+            except ToolError:
+                process.kill()
+                raise
+            self.session = session
+            return session
+
     def call(self, tool: str, input: Any) -> Any:
         return self.call_batch(tool, [(0, input)])[0][1]
 
     def call_batch(self, tool: str, inputs: Sequence[tuple[Any, Any]]) -> list[tuple[Any, Any]]:
-        self._start()
-        sent = [(k, self._send("tools/call", {"name": tool, "arguments": x})) for k, x in inputs]
-        return [(k, normalize(self._ask(s))) for k, s in sent]
+        s = self._started()
+        sent = [(k, s.send("tools/call", {"name": tool, "arguments": x})) for k, x in inputs]
+        return [(k, normalize(s.ask(x))) for k, x in sent]
 
     def tools(self) -> dict[str, Capability]:
-        self._start()
-        return _listed(self.name, lambda p: self._ask(self._send("tools/list", p)))
+        s = self._started()
+        return _listed(self.name, lambda p: s.ask(s.send("tools/list", p)))
 
     def close(self) -> None:
-        if self.process and self.process.poll() is None:
-            with contextlib.suppress(OSError):
-                self.process.stdin.close()
-            try:
-                self.process.wait(2)
-            except subprocess.TimeoutExpired:
-                self.process.kill()
+        if self.session:
+            self.session.end()

@@ -4,13 +4,17 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkloom.plans.compiler import Capability, NodeEffects, compatible, explain, hydrate, optimize, validate
-from sparkloom.plans.frontends import PlanBuilder, compile_intent, compile_recipe, parse_params, ref, splice
+from sparkloom.plans.compiler import Capability, NodeEffects, compatible, explain, hydrate, layered, optimize, validate
+from sparkloom.plans.frontends import (
+    IntentBuilder, PlanBuilder, RecipeBuilder, capabilities, compile_intent, compile_recipe, fan_out, parse_params, ref, run_by_cli, splice,
+)
 from sparkloom.plans.ir import (
     Cost, Effects, Limits, Node, PlanError, ResolutionError, Tool, ValueRef, canonical, collect_refs, dump, escape_segment, fill_template,
     parse_plan, resolve_input, unescape_segment,
 )
 from sparkloom.plans.mining import suggest
+from sparkloom.plans.schema import check_document
+from sparkloom.sources.base import as_column_function
 
 PURE = Effects(pure=True, cacheable=True, batchable=True)
 
@@ -297,3 +301,73 @@ def test_optimized_runs_equal_plain_ones(data):
     runtime = Runtime({"f": Functions({t: (lambda x, t=t: {"tool": t, "in": x}) for t in tools})})
     fast, slow = runtime.run(p), Runtime({"f": runtime.executors["f"]}).run_serial(p)
     assert fast.status == slow.status == "success" and fast.outputs == slow.outputs
+
+
+# --- builders, documents and golden lowerings --------------------------------------------------------------------
+
+#: (kind of document, builder, parameters, nodes of the plan).
+GOLDEN = [
+    ("intent", IntentBuilder("i").tool("t", pure=True).step("a", "t", {"v": 1}).step("b", "t", {"w": ref("a", "k")}).step("c", "t", [ref("b")], after=["a"]).output("o", "c.output"), {}, [
+        Node("a", "t", {"v": 1}), Node("b", "t", {"w": {"$ref": "a.output.k"}}, ("a",)), Node("c", "t", [{"$ref": "b.output"}], ("a", "b")),
+    ]),
+    ("recipe", RecipeBuilder("r").tool("t").fan_out("t", ["x", "y"], prefix="p", key="path").output("o", "p1.output"), {}, [Node("p1", "t", {"path": "x"}), Node("p2", "t", {"path": "y"})]),
+    ("recipe", RecipeBuilder().tool("t").tool("sum").map_reduce("t", "sum", items_ref="list.output.files", key="f", reduce_key="all"), {}, [
+        Node("item_each", "t", {"f": {"$item": ""}}, for_each=ValueRef("list", ("files",))), Node("item_reduce", "sum", {"all": {"$ref": "item_each.output"}}),
+    ]),
+    ("recipe", RecipeBuilder().tool("t").param("who").param("n", 2).fan_out("t", [{"$param": "who"}, {"$param": "n"}]), {"who": "me"}, [Node("item_1", "t", "me"), Node("item_2", "t", 2)]),
+    ("recipe", RecipeBuilder().tool("t").tool("u").pipeline(("t", {"a": 1}), ("u", {"b": {"$prev": ""}}), ("u", {"c": {"$prev": "x.y"}})), {}, [
+        Node("step_1", "t", {"a": 1}), Node("step_2", "u", {"b": {"$ref": "step_1.output"}}), Node("step_3", "u", {"c": {"$ref": "step_2.output.x.y"}}),
+    ]),
+]
+
+
+@pytest.mark.parametrize(("kind", "builder", "params", "nodes"), GOLDEN)
+def test_golden_lowerings(kind, builder, params, nodes):
+    doc = builder.build()
+    assert check_document(kind, doc) is None
+    lowered = compile_intent(doc) if kind == "intent" else compile_recipe(doc, params)
+    assert list(lowered.nodes) == nodes and lowered.name == doc.get("name")
+    assert lowered == builder.compile(**params) and check_document("plan", dump(lowered)) is None
+
+
+def test_documents_that_schemas_refuse():
+    for kind, doc in (("plan", {}), ("plan", {"version": "0", "nodes": [{"id": "a"}]}), ("plan", {"version": "0", "more": 1}), ("intent", {"version": "0", "steps": {}}), ("recipe", {"version": "0", "recipe": {"kind": "loop"}}), ("plan", {"version": "0", "tools": {"t": {"adapter": "a", "limits": {"batch_size": 0}}}})):
+        assert check_document(kind, doc)
+    refused("missing_param", RecipeBuilder().tool("t").param("who").fan_out("t", [{"$param": "who"}]).compile)
+    refused("unknown_field", lambda: IntentBuilder().tool("t", "local", sure=True))
+
+
+def test_builders_of_nodes_and_capabilities():
+    assert fan_out("t", [1, {"a": 2}], "n") == [Node("n1", "t", 1), Node("n2", "t", {"a": 2})]
+    got = capabilities(read={"reads": ["x"], "cost": Cost(5), "input_schema": {"type": "object"}}, other={})
+    assert got["read"].effects == Effects(reads=("x",)) and got["read"].cost.fixed_ms == 5 and got["read"].input_schema and got["other"] == Capability()
+
+
+def test_plans_run_by_the_command_line():
+    b = PlanBuilder().tool("const", "local", pure=True).node("a", "const", {"value": 3}).output("o", "a.output")
+    assert run_by_cli(b.build())["outputs"] == {"o": 3}
+    assert run_by_cli(dump(b.build()), command="validate")["valid"]
+    with pytest.raises(PlanError, match="version"):
+        run_by_cli({"version": "9"})
+
+
+def test_effects_reach_catalyst(spark):
+    for effects, stays in ((Effects(pure=True), True), (Effects(reads=("clock",)), False), (None, False)):
+        assert as_column_function(lambda x: x, "int", effects).deterministic is stays
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["t", "u"]), st.booleans(), st.sets(st.sampled_from("xyz"), max_size=2), st.sets(st.sampled_from("xyz"), max_size=2), st.booleans()), max_size=12))
+def test_members_of_a_layer_are_compatible(own):
+    """Each two may run side by side, and a node waits only if one that started earlier keeps it."""
+    effects = {f"n{k:02d}": NodeEffects(tool, declared, Effects(pure=declared and not r and not w, reads=tuple(sorted(r)), writes=tuple(sorted(w)), commutative=c)) for k, (tool, declared, r, w, c) in enumerate(own)}
+    layers = layered({n: set() for n in effects}, effects)
+    assert sorted(n for x in layers for n in x) == sorted(effects)
+    left = sorted(effects)
+    for layer in layers:
+        taken = []
+        for n in left:
+            if all(compatible(effects[n], effects[m]) for m in taken):
+                taken.append(n)
+        assert layer == taken
+        left = [n for n in left if n not in taken]

@@ -5,6 +5,7 @@ import json
 import sys
 import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -349,6 +350,39 @@ def test_mcp(tmp_path):
         McpStdio("none", ["/no/such/program"]).call("x", {})
 
 
+SLOW = """
+import json, os, sys, time
+ready = False
+for line in sys.stdin:
+    m = json.loads(line)
+    if m["method"] == "initialize":
+        time.sleep(0.3)
+        if "--refuse" in sys.argv:
+            print(json.dumps({"id": m["id"], "result": {}}), flush=True)
+            continue
+        ready = True
+        print(json.dumps({"id": m["id"], "result": {"protocolVersion": "2025-06-18"}}), flush=True)
+    elif "id" in m:
+        print(json.dumps({"id": m["id"], "result": {"structuredContent": {"ready": ready, "pid": os.getpid(), "depth": os.environ["SPARKLOOM_DEPTH"]}}}), flush=True)
+"""
+
+
+def test_mcp_calls_wait_for_the_greeting(tmp_path, monkeypatch):
+    path = tmp_path / "slow.py"
+    path.write_text(SLOW)
+    monkeypatch.setenv("SPARKLOOM_DEPTH", "1")
+    m = McpStdio("slow", [sys.executable, str(path)], timeout_s=20)
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: m.call("x", {}), range(8)))
+    assert all(g["ready"] and g["depth"] == "2" for g in got) and len({g["pid"] for g in got}) == 1
+    m.close()
+    m = McpStdio("rude", [sys.executable, str(path), "--refuse"], timeout_s=20)
+    for _ in range(2):  # a failed greeting isn't skipped by the next call
+        with pytest.raises(ToolError, match="protocol version"):
+            m.call("x", {})
+    assert m.session is None
+
+
 def test_mcp_over_http():
     class Client:
         def request(self, method, url, headers, body):
@@ -401,6 +435,9 @@ def test_commands(tmp_path, capsys):
     assert told("conformance", "local", "--failing-tool", "fail")[1]["passed"]
     b = told("bench", str(path), "-i", "1", "--warmup", "0")[1]
     assert b["serial"]["mean_ms"] > b["compiled"]["mean_ms"]
+    (tmp_path / "suite.json").write_text(json.dumps({"iterations": 1, "warmup": 0, "cases": [{"id": "p", "plan": json.loads(path.read_text())}]}))
+    assert told("bench-suite", str(tmp_path / "suite.json"))[1]["cases"][0]["speedup"] > 0
+    assert told("schema", "plan")[1]["required"] == ["version"]
 
 
 def test_bench_refuses_failing_plans():

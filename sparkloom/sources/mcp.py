@@ -156,12 +156,13 @@ class _Session:
         self.ids, self.writing = itertools.count(1), threading.Lock()
         self.waiting: dict[int, queue.Queue] = {}
         self.stderr: collections.deque[str] = collections.deque(maxlen=STDERR_LINES)
+        self.ended = False
         threading.Thread(target=self._read, daemon=True).start()
         threading.Thread(target=lambda: self.stderr.extend(process.stderr), daemon=True).start()
 
     @property
     def alive(self) -> bool:
-        return self.process.poll() is None
+        return not self.ended and self.process.poll() is None
 
     def _read(self) -> None:
         for line in self.process.stdout:
@@ -169,6 +170,7 @@ class _Session:
                 got = json.loads(line)
                 if box := self.waiting.pop(got.get("id"), None):
                     box.put(got)
+        self.ended = True
         for key in list(self.waiting):
             if box := self.waiting.pop(key, None):
                 box.put(None)
@@ -212,7 +214,7 @@ class _Session:
         self.write({"jsonrpc": "2.0", "method": "notifications/initialized"})
 
     def end(self) -> None:
-        if self.alive:
+        if self.process.poll() is None:
             with contextlib.suppress(OSError):
                 self.process.stdin.close()
             try:

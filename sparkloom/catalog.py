@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.queries import ORACLES, QUERIES, call_queries, flow_queries, graph_queries, value_queries
+from sparkloom.queries import ORACLES, QUERIES, call_queries, flow_queries, graph_queries, run_queries, value_queries
 
 flagship = flow_queries.flagship
 
-__all__ = ["ORACLES", "QUERIES", "call_queries", "flagship", "flow_queries", "graph_queries", "value_queries"]
+__all__ = ["ORACLES", "QUERIES", "call_queries", "flagship", "flow_queries", "graph_queries", "run_queries", "value_queries"]

@@ -136,13 +136,14 @@ def join_url(base: Column, url: Column) -> Column:
 
 
 def capped_text(data: Column, most: int) -> Column:
-    """The first `most` bytes of a binary column as text, cut back to a whole character."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: bytes(b[:most]).decode("utf-8", "ignore" if len(b) > most else "replace"), na_action="ignore")
-
-    return run(data)
+    """The first `most` bytes of a binary column as text, cut back to a whole character; bytes that aren't UTF-8 become the
+    replacement character."""
+    text = lambda b: F.make_valid_utf8(b.cast("string"))
+    inside = lambda at: F.hex(F.substring(data, at + 1, 1)).between("80", "BF")  # noqa: E731  a character goes on there
+    cut = text(F.substring(data, 1, max(0, most - 3)))
+    for back in range(min(most, 3) - 1, -1, -1):
+        cut = F.when(inside(most - back), cut).otherwise(text(F.substring(data, 1, most - back)))
+    return F.when(F.octet_length(data) <= most, text(data)).otherwise(cut)
 
 
 def glob_like(pattern: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from collections.abc import Sequence
 
 import pandas as pd
@@ -65,20 +65,26 @@ def replay_lru(log: DataFrame, capacity: int, ttl_ms: int | None = None) -> Data
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["ts", "key"], kind="stable")
         held: OrderedDict[str, tuple[int, str]] = OrderedDict()
+        of: defaultdict[str, set[str]] = defaultdict(set)  # a resource's entries
         hits = []
+
+        def drop(key: str) -> None:
+            of[held.pop(key)[1]].discard(key)
+
         for ts, key, resource, write in zip(own.ts, own.key, own.resource, own.is_write, strict=True):
             hit = False
             if write:
-                for k in [k for k, (_, r) in held.items() if r == resource]:
+                for k in of.pop(resource, ()):
                     del held[k]
             else:
                 if key in held and ttl_ms is not None and ts - held[key][0] > ttl_ms:
-                    del held[key]
+                    drop(key)
                 hit = key in held
                 if not hit:
                     held[key] = (ts, resource)
+                    of[resource].add(key)
                     if len(held) > capacity:
-                        held.popitem(last=False)
+                        drop(next(iter(held)))
                 held.move_to_end(key)
             hits.append(hit)
         return own.assign(hit=hits)

@@ -59,17 +59,21 @@ def rewrite_edges(edges: DataFrame, alias: DataFrame) -> DataFrame:
     return out.select("plan_id", F.coalesce("canonical", "src").alias("src"), "dst").distinct()
 
 
+#: Tables that a growing result may consist of before they are written as one.
+PARTS = 16
+
+
 def reach(seeds: DataFrame, edges: DataFrame, settle: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
     """(plan_id, node): seeds and all that edges (plan_id, a, b) lead to from them. Each round joins the newest nodes
-    alone; settle() cuts lineage."""
+    alone and writes what it adds; settle() cuts lineage."""
     found = fresh = settle(seeds.select("plan_id", "node").distinct())
     edges = settle(edges.select("plan_id", F.col("a").alias("node"), "b").distinct())
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         step = fresh.join(edges, ["plan_id", "node"]).select("plan_id", F.col("b").alias("node")).distinct()
         fresh = settle(step.join(found, ["plan_id", "node"], "left_anti"))
         if fresh.isEmpty():
             return found
-        found = settle(found.union(fresh))
+        found = found.union(fresh) if k % PARTS else settle(found.union(fresh))
     raise RuntimeError("reachability didn't settle")
 
 
@@ -130,24 +134,32 @@ def conflicts(touches: DataFrame, layer_of: DataFrame, ordered: DataFrame) -> Da
     """(plan_id, resource, node): nodes that a resource keeps from running side by side.
 
     touches: plan_id, node, resource, is_write. ordered: plan_id, a, b for nodes with a path between them, either way.
-    Writers meet writers and readers on one resource; where no toucher writes nothing is joined."""
+    A writer is kept from the touchers of its resource, a reader from its writers, that are in other layers without a path
+    between them. They are counted, not paired: all in other layers, less those that a path orders."""
     t = touches.groupBy("plan_id", "resource", "node").agg(F.max("is_write").alias("is_write")).join(layer_of, ["plan_id", "node"])
-    a, b = t.where("is_write").alias("a"), t.alias("b")
-    pairs = a.join(b, (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.resource") == F.col("b.resource")) & (F.col("a.node") != F.col("b.node")) & (F.col("a.layer") != F.col("b.layer")))
-    pairs = pairs.select(F.col("a.plan_id").alias("plan_id"), F.col("a.resource").alias("resource"), F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    free = pairs.join(ordered, ["plan_id", "a", "b"], "left_anti")
-    return free.select("plan_id", "resource", F.explode(F.array("a", "b")).alias("node")).distinct()
+    by_layer = t.groupBy("plan_id", "resource", "layer").agg(F.count("*").alias("here"), F.count_if("is_write").alias("writers_here"))
+    totals = by_layer.groupBy("plan_id", "resource").agg(F.sum("here").alias("touchers"), F.sum("writers_here").alias("writers")).where("writers > 0 and touchers > 1")
+    ends = ordered.select("plan_id", F.col("a").alias("node"), "b").distinct()
+    other = t.select("plan_id", "resource", F.col("node").alias("b"), F.col("is_write").alias("b_writes"))
+    known = t.select("plan_id", "resource", "node").join(ends, ["plan_id", "node"]).join(other, ["plan_id", "resource", "b"])
+    known = known.groupBy("plan_id", "resource", "node").agg(F.count("*").alias("placed"), F.count_if("b_writes").alias("placed_writers"))
+    all_of = t.join(totals, ["plan_id", "resource"]).join(by_layer, ["plan_id", "resource", "layer"]).join(known, ["plan_id", "resource", "node"], "left").na.fill(0, ["placed", "placed_writers"])
+    free = F.when(F.col("is_write"), F.expr("touchers - here - placed")).otherwise(F.expr("writers - writers_here - placed_writers"))
+    return all_of.where(free > 0).select("plan_id", "resource", "node")
 
 
 def closure(edges: DataFrame, settle: Callable, rounds: int = 40) -> DataFrame:
-    """(plan_id, src, dst) for every path, by squaring: rounds grow as the logarithm of the longest."""
-    paths = settle(edges.select("plan_id", "src", "dst").distinct())
+    """(plan_id, src, dst) for every path, by joining the newest paths with all, before and behind: rounds grow as the
+    logarithm of the longest path, and each writes what it adds."""
+    paths = fresh = settle(edges.select("plan_id", "src", "dst").distinct())
     for _ in range(rounds):
-        more = paths.alias("a").join(paths.alias("b"), (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.dst") == F.col("b.src")))
-        new = settle(paths.union(more.select("a.plan_id", "a.src", "b.dst")).distinct())
-        if new.count() == paths.count():
-            return new
-        paths = new
+        behind = fresh.select("plan_id", "src", F.col("dst").alias("mid")).join(paths.select("plan_id", F.col("src").alias("mid"), "dst"), ["plan_id", "mid"])
+        before = paths.select("plan_id", "src", F.col("dst").alias("mid")).join(fresh.select("plan_id", F.col("src").alias("mid"), "dst"), ["plan_id", "mid"])
+        more = behind.union(before).select("plan_id", "src", "dst").distinct()
+        fresh = settle(more.join(paths, ["plan_id", "src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            return paths
+        paths = paths.union(fresh)
     raise RuntimeError("the closure didn't settle")
 
 

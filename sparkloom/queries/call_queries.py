@@ -125,6 +125,20 @@ def lru_replay(spark: SparkSession, d: str) -> DataFrame:
     return C.replay_lru(_log(spark, d), 16)
 
 
-@query()
+TTL = 3_600_000_000
+
+
+@query(f"""
+WITH RECURSIVE calls AS (SELECT user_id % 8 AS cache, epoch_us(ts) AS ts, event_type || ':' || user_id AS key, user_id AS resource, event_type = 'purchase' AS is_write FROM events
+), placed AS (SELECT *, sum(is_write::INT) OVER (PARTITION BY resource ORDER BY ts, key ROWS UNBOUNDED PRECEDING) AS epoch FROM calls
+), reads AS (SELECT *, row_number() OVER (PARTITION BY key, epoch ORDER BY ts) AS nth FROM placed WHERE NOT is_write
+), held AS (
+  SELECT *, ts AS since, false AS hit FROM reads WHERE nth = 1
+  UNION ALL
+  SELECT r.*, CASE WHEN r.ts - h.since > {TTL} THEN r.ts ELSE h.since END, r.ts - h.since <= {TTL} FROM held h JOIN reads r ON r.key = h.key AND r.epoch = h.epoch AND r.nth = h.nth + 1
+)
+SELECT cache, ts, key, resource, is_write, hit FROM held UNION ALL SELECT cache, ts, key, resource, is_write, false FROM placed WHERE is_write
+""")
 def ttl_replay(spark: SparkSession, d: str) -> DataFrame:
-    return C.replay_lru(_log(spark, d), 1 << 30, 3_600_000_000)
+    """An entry lives for an hour from its insert; a write drops its user's entries."""
+    return C.replay_lru(_log(spark, d), 1 << 30, TTL)

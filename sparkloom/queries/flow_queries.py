@@ -84,11 +84,15 @@ def fan_out_static(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n.id, n.input["path"]) for n in compile_recipe(recipe).nodes], "node_id string, item string")
 
 
-@query()
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query(f"SELECT unnest({TABLES}) || '.parquet' AS name, true AS filled")
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' files, found by a glob without reading them."""
     from sparkloom.sources.files import list_files
 
-    return list_files(spark, d, "*.parquet").orderBy("name")
+    return list_files(spark, d, "*.parquet").select("name", (F.col("bytes") > 0).alias("filled")).orderBy("name")
 
 
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,39 @@ def test_globs(glob, path, hit):
     import re
 
     assert bool(re.match(V.glob_like(glob), path)) is hit
+
+
+def test_replay_follows_a_plain_cache(spark):
+    """Against a list of entries that is searched from end to end."""
+    rng = random.Random(9)
+    log = [(c, ts, f"k{(k := rng.randrange(9))}", k % 3, rng.random() < 0.1) for c in range(2) for ts in range(300)]
+    got = {(r.cache, r.ts): r.hit for r in C.replay_lru(spark.createDataFrame(log, "cache int, ts long, key string, resource int, is_write boolean"), 4, 25).collect()}
+    for c in range(2):
+        held = []  # (key, since, resource), the least recent first
+        for _, ts, key, resource, write in sorted(x for x in log if x[0] == c):
+            found = next((e for e in held if e[0] == key), None)
+            hit = not write and found is not None and ts - found[1] <= 25
+            if write:
+                held = [e for e in held if e[2] != resource]
+            else:
+                held = [e for e in held if e[0] != key] + [found if hit else (key, ts, resource)]
+                held = held[-4:]
+            assert got[c, ts] is hit
+
+
+def test_conflicts_are_those_of_pairs(spark):
+    rng = random.Random(4)
+    layer = {n: rng.randrange(4) for n in range(12)}
+    touches = [(1, n, r, rng.random() < 0.4) for n in layer for r in "ab" if rng.random() < 0.8] * 2
+    ordered = {(a, b) for a in layer for b in layer if layer[a] != layer[b] and rng.random() < 0.4}
+    ordered |= {(b, a) for a, b in ordered}
+    writes = {}
+    for _, n, r, w in touches:
+        writes[n, r] = writes.get((n, r), False) or w
+    want = {(r, n) for (n, r), w in writes.items() for (m, q), v in writes.items() if q == r and m != n and (w or v) and layer[n] != layer[m] and (n, m) not in ordered}
+    got = G.conflicts(
+        spark.createDataFrame(touches, "plan_id int, node int, resource string, is_write boolean"),
+        spark.createDataFrame([(1, n, k) for n, k in layer.items()], "plan_id int, node int, layer int"),
+        spark.createDataFrame([(1, a, b) for a, b in sorted(ordered)], "plan_id int, a int, b int"),
+    )
+    assert sorted((r.resource, r.node) for r in got.collect()) == sorted(want)

@@ -155,6 +155,17 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert lost <= 1
 
 
+def test_bands_meet_pairs_at_the_threshold():
+    """Of 3,000 pairs of similarity 0.8 all meet in a band."""
+    rng = np.random.default_rng(3)
+    lost = 0
+    for _ in range(3000):
+        own = rng.integers(0, 1 << 63, 90, dtype=np.int64).view(np.uint64)
+        a, b = (near_duplicates.minhash(np.sort(x)).reshape(near_duplicates.BANDS, -1) for x in (own[:81], np.r_[own[:72], own[81:]]))  # 72 of 90 in common
+        lost += not (a == b).all(axis=1).any()
+    assert lost <= 1
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import compare
 import pytest
 
@@ -29,3 +33,9 @@ def test_entry(spark):
 def test_scan_reads_the_columns_that_are_used(spark, sf):
     plan = QUERIES["flagship"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in plan and "o_orderdate" not in plan
+
+
+def test_core_queries_load_without_what_the_others_import():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__spark_entry__.__file__).parent, timeout=120, check=True)
+    assert got.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]

@@ -60,9 +60,13 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has no words and fails. Windows are compared by a 64-bit hash of their eight word hashes.
     Columns of df with these names are replaced.
     """
-    rest = ["_doc"]
-    df = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
-    text, columns = "_text", df.schema["_doc"].dataType.names[1:]
+    inner = ("_w", "_lines", "_h", "_first", "_win", "_s")
+    spare = {c: max([*df.columns, ""], key=len) + c for c in df.columns if c in inner}  # names that df doesn't have
+    if spare:
+        moved = df.select(*[F.col(f"`{c}`").alias(spare.get(c, c)) for c in df.columns])
+        out = measure(moved, spare.get(text, text))
+        return out.select(*[F.col(f"`{c}`").alias(next((k for k, v in spare.items() if v == c), c)) for c in out.columns])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in {*COLUMNS, "good_lines"}]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = df.select(*rest, words(whole).alias("_w"), F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(_WORD)).alias("_lines"), F.regexp_count(whole, F.lit(_SYMBOL)).cast("bigint").alias("n_symbols"))
     two = one.select(
@@ -92,9 +96,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(starts, begin, lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     five = four.select(*rest, *kept_names, "n_dup_lines", "good_lines", covered.alias("n_repeat_words"), F.length(F.regexp_replace(F.array_join("good_lines", ""), _SPACES, "")).cast("bigint").alias("n_good_chars"))
     six = five.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    out = six.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_good_chars") >= LEAST_KEPT * F.col("word_chars")))
-    new = [*COLUMNS, "good_lines"]
-    return out.select(*[F.col("_doc").getField(c).alias(c) for c in columns if c not in new], *new)
+    return six.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_good_chars") >= LEAST_KEPT * F.col("word_chars")))
 
 
 def clean_documents(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -36,13 +36,17 @@ _BOILERPLATE = r"(^|[^\p{L}])(" + "|".join(_PHRASES) + r")([^\p{L}]|$)"
 _SHOUT = r"\p{Ll}"
 
 
-def _line_ok(line: Column) -> Column:
-    words_of = lambda x: F.regexp_count(x, F.lit(rf"{_WORD}+"))
-    n_words = words_of(line)
+def _words_of(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(rf"{_WORD}+"))
+
+
+def _line_ok(counted: Column) -> Column:
+    """counted: a line and its number of words n, which would else be counted for each rule."""
+    line, n_words = counted["line"], counted["n"]
     bars = F.regexp_count(line, F.lit(_BARS))
     symbols = F.regexp_count(line, F.lit(_SYMBOL))
     low = F.lower(line)
-    stock = n_words - words_of(F.regexp_replace(low, _BOILERPLATE, " "))
+    stock = n_words - _words_of(F.regexp_replace(low, _BOILERPLATE, " "))
     return (
         line.rlike(_SENTENCE_END)
         & ~((bars >= 3) & (bars * 4 >= n_words))
@@ -79,7 +83,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     )
     # a column that a lambda reads stands in a projection of its own, so that it is computed once a row
     win = F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h") - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])))
-    good = F.filter("_first", _line_ok)
+    counted = F.transform("_first", lambda x: F.struct(x.alias("line"), _words_of(x).alias("n")))
+    good = F.transform(F.filter(counted, _line_ok), lambda x: x["line"])
     kept_names = ["n_symbols", "n_words", "word_chars", "n_lines"]
     three = two.select(*rest, *kept_names, (F.col("n_lines") - F.size("_first")).alias("n_dup_lines"), good.alias("good_lines"), F.coalesce(win, F.array().cast("array<bigint>")).alias("_win"))
     some = F.size(F.array_distinct("_win")) < F.size("_win")

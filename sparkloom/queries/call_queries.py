@@ -46,7 +46,8 @@ n AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY key ORDER BY s, event_id
 f AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY s, event_id) AS flight FROM n)
 SELECT event_id, first_value(event_id) OVER (PARTITION BY key, flight ORDER BY s, event_id) AS leader FROM f""")
 def single_flight(spark: SparkSession, d: str) -> DataFrame:
-    c = _calls(spark, d).select(F.col("event_id").alias("id"), F.col("tool").alias("key"), F.col("ms").alias("start_ms"), (F.col("ms") + (F.round("value").cast("bigint") % 500) * 1000).alias("end_ms"))
+    """A call takes its value's seconds; SQL's cast rounds halves to the even number."""
+    c = _calls(spark, d).select(F.col("event_id").alias("id"), F.col("tool").alias("key"), F.col("ms").alias("start_ms"), (F.col("ms") + (F.rint("value").cast("bigint") % 500) * 1000).alias("end_ms"))
     return C.single_flight(c).select(F.col("id").alias("event_id"), "leader")
 
 

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import compare
+import duckdb
 import pytest
 
 import __spark_entry__
@@ -39,3 +40,14 @@ def test_core_queries_load_without_what_the_others_import():
     code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__spark_entry__.__file__).parent, timeout=120, check=True)
     assert got.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+
+
+def test_single_flight_rounds_halves_as_sql_does(spark, tmp_path):
+    # calls of each key start together, or half a second or more apart; one start, one value and a key are null
+    values = "12.5, 0, 0.5, 1.5, 2.5, 2.5, 3.5, -0.5, -1.5, -2.5, NULL, 499.5, 500.5, 1e15, 0.49999999999999994, 20.5"
+    events = f"""SELECT row_number() OVER () AS event_id, v AS value, CASE WHEN t <> 25 THEN 'k' || t END AS event_type, t AS user_id, '{{}}' AS props,
+        CASE WHEN i <> 9 THEN TIMESTAMP '1970-01-01' + to_milliseconds((i - 3) * t * 500) END AS ts FROM (SELECT unnest([{values}]::DOUBLE[]) AS v, unnest(range(16)) AS i), (SELECT unnest([0, 1, 2, 3, 4, 5, 25, 41]) AS t)"""
+    duckdb.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    compare.same(QUERIES["single_flight"](spark, str(tmp_path)).toPandas(), duck.sql(ORACLES["single_flight"]).df())

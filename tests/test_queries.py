@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -10,6 +11,7 @@ import pytest
 
 import __spark_entry__
 from sparkloom.catalog import ORACLES, QUERIES
+from sparkloom.sources.files import list_files
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,26 @@ def test_single_flight_rounds_halves_as_sql_does(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     compare.same(QUERIES["single_flight"](spark, str(tmp_path)).toPandas(), duck.sql(ORACLES["single_flight"]).df())
+
+
+def test_scan_files_counts_a_table_in_parts_as_one(spark, sf, tmp_path):
+    top = tmp_path / "a b%20é"
+    shutil.copytree(sf, top, copy_function=shutil.copyfile)
+    top.chmod(0o755)
+    for name, parts in {"documents": ["part-0000.parquet", "part-0001.parquet"], "labels": ["k=1/part-0000", "k=2/x.parquet/part-0000", "_SUCCESS"], "pages": ["pages.parquet"]}.items():
+        (whole := top / f"{name}.parquet").rename(top / "whole")
+        for p in parts:
+            (whole / p).parent.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(top / "whole", whole / p)
+        (top / "whole").unlink()
+    (top / "old").mkdir()
+    shutil.copyfile(top / "nation.parquet", top / "old/nation.parquet")
+    (top / "notes.md").write_text("x")
+    want = duckdb.sql(ORACLES["scan_files"]).df()
+    for d in (str(top), f"{top}/", f"file://{tmp_path}/../{tmp_path.name}/{top.name}"):
+        compare.same(QUERIES["scan_files"](spark, d).toPandas(), want)
+    size = lambda n: Path(sf, n).stat().st_size
+    got = {r.name: r.bytes for r in list_files(spark, str(top)).collect()}
+    assert len(got) == 16 and got["old"] == got["nation.parquet"] == size("nation.parquet") and got["notes.md"] == 1
+    assert got["documents.parquet"] == 2 * size("documents.parquet") and got["labels.parquet"] == 2 * size("labels.parquet")
+    assert list_files(spark, str(top), "*.txt").count() == 0

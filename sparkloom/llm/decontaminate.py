@@ -23,6 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from sparkloom.llm.common import few, settle, table, tidy, without_ids
 
@@ -268,7 +269,9 @@ def _index(rows: DataFrame, holders: DataFrame | None) -> Index:
     found = sorted(rows.select("i", "t").collect(), key=lambda r: (r["i"] is not None, r["i"], r["t"]))
     if not found:
         return Index.build([], [], [])
-    halves = spark.createDataFrame([(k, *split_item(r["t"])) for k, r in enumerate(found)], "k int, q string, a string")
+    q, a = zip(*[split_item(r["t"]) for r in found], strict=True)
+    # by Arrow: rows given as a list would start further Python workers, which live on beside the operators' own
+    halves = spark.createDataFrame(pa.table({"k": pa.array(range(len(found)), pa.int32()), "q": pa.array(q, pa.string()), "a": pa.array(a, pa.string())}))
     hashed = {r["k"]: (r["q"], r["a"]) for r in halves.select("k", hashed_words(F.col("q")).alias("q"), hashed_words(F.col("a")).alias("a")).collect()}
     some = [k for k in range(len(found)) if hashed[k][0] or hashed[k][1]]
     array = lambda k, side: np.array(hashed[k][side], dtype=np.int64)
@@ -293,7 +296,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     kinds = docs.schema[id].dataType, items.schema[item_id].dataType
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double"
     asked = docs.select(F.col(f"`{id}`").alias("doc_id"), hashed_words(F.col(f"`{text}`")).alias("w"))
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = docs.sparkSession.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
     for k in parts:
         sent = docs.sparkSession.sparkContext.broadcast(_index(rows.where(F.col("part") == k), holders))
         out = out.union(settle(asked.mapInArrow(tidy(_searching(sent, to_arrow_type(kinds[1]))), schema), "leaks"))

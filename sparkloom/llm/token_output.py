@@ -21,7 +21,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, settle, table, tidy
+from sparkloom.llm.common import fresh_path, kept, settle, table, tidy, trim
 
 END_ID = 2
 #: Stands in the files for a missing document id; such documents come first.
@@ -170,7 +169,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
+@kept
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -316,15 +315,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             for lo, hi in _runs(b.column(1)):
                 for d, tokens in zip(ids[lo:hi], enc.encode(b.column(1)[lo:hi].to_pylist()), strict=True):
                     writer.add(d, np.concatenate([tokens, end]))
+            trim()  # lists of pieces take many times their text
         if out is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "docs": pa.array([writer.docs], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
 
-    return settle(rows.select("i", "t").mapInArrow(tidy(run), "part int, path string, docs bigint, tokens bigint"), "token-manifest")
+    return settle(rows.select("i", "t").mapInArrow(tidy(run, encoder), "part int, path string, docs bigint, tokens bigint"), "token-manifest")
 
 
-def _runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _runs(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Consecutive rows of about `most` bytes together."""
     sizes = np.array([len(t.as_buffer()) for t in texts.cast(pa.large_binary())], dtype=np.int64)
     lo = 0
